@@ -1,14 +1,16 @@
 """Substring dedup by paragraph MinHash banding.
 
-Repeated passages rarely begin at a line break, so paragraphs are cut by content: among every ``WINDOW`` consecutive
-positions the word n-gram of least hash is an anchor (winnowing), and a paragraph is the ``WINDOW`` words from an anchor
-on. Any passage of 2 * WINDOW + 3 words (51) then holds the same whole paragraph wherever it stands. Paragraphs are
-banded by MinHash over their five-word shingles (4 bands of 2: an exact copy always meets, one of Jaccard 0.8 in 98 of
-100 cases); colliding ones are verified by exact Jaccard and clustered by connected components. In each component the
-paragraphs of the least document stay; the others are removals.
-
-Equal paragraphs are one node of the graph, so a passage in every document costs one row a document. In a bucket all
-texts are first compared to its least one; only texts that this leaves in different components are compared further.
+Paragraphs are the lines of at least ``WINDOW`` words. They are banded by MinHash over their five-word shingles (4 bands
+of 2: an exact copy always meets, one of Jaccard 0.8 in 98 of 100 cases); colliding ones are verified by exact Jaccard.
+Repeated passages rarely begin at a line break, though, so texts are cut a second time, by content: among every
+``WINDOW`` consecutive positions the word n-gram of least hash is an anchor (winnowing), and a cut is the ``WINDOW``
+words from an anchor on. Any passage of 2 * WINDOW + 3 words (51) holds the same whole cut wherever it stands. A cut is
+too short for a Jaccard of 0.8 to allow more than a changed end, so it is banded by all of its shingles at once.
+Linked paragraphs and equal cuts are clustered by connected components. In each the least document stays; the others
+hold removals.
+
+Equal texts are one node of the graph, so a passage in every document costs one row a document. In a bucket all texts
+are first compared to its least one; only texts that this leaves in different components are compared further.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import Words, cut, mix, sliced, sliding_min, text_key
@@ -49,52 +51,70 @@ def anchors(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(highest[at] == grams)
 
 
-def cut_paragraphs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all paragraphs of ``texts``: the text, the first word, a hash of the words, the band keys, and the shingles' hashes. A text lists equal paragraphs once."""
-    w = Words(texts, lower=True)
-    h = w.hashes()
-    shingles, s_at = w.shingles(SHINGLE, h)
+def cut_windows(w: Words, h: np.ndarray, shingles: np.ndarray, s_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all cuts of the texts, and a hash of each; of equal cuts a text lists the first."""
     grams, g_at = w.shingles(GRAM, h)
-    fits = w.doc[np.minimum(g_at + WINDOW - 1, len(h) - 1)] == w.doc[g_at] if len(g_at) else np.zeros(0, bool)
-    fits &= g_at + WINDOW <= len(h)
+    fits = g_at + WINDOW <= len(h)
+    grams, g_at = grams[fits], g_at[fits]
+    fits = w.doc[g_at + WINDOW - 1] == w.doc[g_at]
     grams, g_at = grams[fits], g_at[fits]
-    empty = np.zeros(0, np.int64)
     if not len(g_at):
-        return empty, empty, empty, np.zeros((0, BANDS), np.int64), np.zeros((0, WINDOW - SHINGLE + 1), np.int64)
+        return g_at, grams
     begin = g_at[anchors(grams, w.doc[g_at])]
     index = np.full(len(h), -1)
     index[s_at] = np.arange(len(s_at))
-    rows = index[begin][:, None] + np.arange(WINDOW - SHINGLE + 1)
-    held = shingles[rows]
-    factor = mix(np.arange(held.shape[1], dtype=np.uint64) + np.uint64(7)) | np.uint64(1)
-    content = mix((held * factor).sum(axis=1, dtype=np.uint64))
+    held = shingles[index[begin][:, None] + np.arange(WINDOW - SHINGLE + 1)]
+    content = mix((held * (mix(np.arange(held.shape[1], dtype=np.uint64) + np.uint64(7)) | np.uint64(1))).sum(axis=1, dtype=np.uint64))
     _, once = np.unique(np.stack((w.doc[begin].astype(np.uint64), content)), axis=1, return_index=True)
     once.sort()
-    begin, held, content = begin[once], held[once], content[once]
-    minima = [(held * a).min(axis=1) for a in _SEEDS]
-    bands = np.stack([mix(minima[ROWS * b] * np.uint64(3) + mix(minima[ROWS * b + 1] + np.uint64(b + 1))) for b in range(BANDS)], axis=1)
-    return w.doc[begin], begin - w.first[w.doc[begin]], content.view(np.int64), bands.view(np.int64), held.view(np.int64)
-
-
-def _extract(rows: DataFrame, wanted: bool) -> DataFrame:
-    """Of ``rows`` (_id, _th, _text, and if ``wanted`` _contents): _id, _th, first, content, bands, or the shingles of the wanted contents."""
+    return begin[once], content[once]
+
+
+def cut_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The lines of at least WINDOW words, the text of each, and its first word's number in that text."""
+    lines, doc, first = [], [], []
+    for d, t in enumerate(texts):
+        at = 0
+        for line in t.split(b"\n"):
+            n = len(line.split())
+            if n >= WINDOW:
+                lines.append(line)
+                doc.append(d)
+                first.append(at)
+            at += n
+    return lines, np.array(doc, np.int64), np.array(first, np.int64)
+
+
+def _extract(rows: DataFrame) -> DataFrame:
+    """Of ``rows`` (_id, _th, _text): _id, _th, first, n_words, content, and for lines the band keys k0.. and the shingles (as 32-bit hashes)."""
     kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_id", "_th", "first", "n_words", "content", *(f"k{b}" for b in range(BANDS)), "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in sliced(batches, "_text", 1 << 19):
-            doc, first, content, bands, held = cut_paragraphs(texts)
-            if wanted:
-                want = batch.column(3)
-                asked = [set(x.as_py() or ()) for x in want]
-                keep = np.array([c in asked[d] for d, c in zip(doc.tolist(), content.tolist(), strict=True)], bool)
-                sets = pa.array(list(held[keep]), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(content[keep]), sets], names=["content", "shingles"])
-            else:
-                d = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(d), batch.column(1).take(d), pa.array(first.astype(np.int32)), pa.array(content), *(pa.array(bands[:, b]) for b in range(BANDS))], names=["_id", "_th", "first", "content", *(f"k{b}" for b in range(BANDS))])
-
-    schema = "content long, shingles array<long>" if wanted else f"_id {kind}, _th long, first int, content long, " + ", ".join(f"k{b} long" for b in range(BANDS))
-    return rows.mapInArrow(run, schema)
+            w = Words(texts, lower=True)
+            h = w.hashes()
+            begin, content = cut_windows(w, h, *w.shingles(SHINGLE, h))
+            d = pa.array(w.doc[begin])
+            none = [pa.nulls(len(begin), pa.int64())] * BANDS
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(d), batch.column(1).take(d), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(np.full(len(begin), WINDOW, np.int32)), pa.array(content.view(np.int64)), *none, pa.nulls(len(begin), pa.list_(pa.int32()))], names=names)
+            lines, doc, first = cut_lines(texts)
+            if not lines:
+                continue
+            w = Words(lines, lower=True)
+            shingles, at = w.shingles(SHINGLE)
+            edge = np.searchsorted(w.doc[at], np.arange(len(lines)))  # every line has shingles
+            minima = [np.minimum.reduceat(shingles * a, edge) for a in _SEEDS]
+            bands = [mix(minima[ROWS * b] * np.uint64(3) + mix(minima[ROWS * b + 1] + np.uint64(b + 1))) for b in range(BANDS)]
+            place = np.arange(len(shingles), dtype=np.uint64) - np.repeat(edge, np.diff(np.append(edge, len(shingles)))).astype(np.uint64)
+            whole = ~mix(np.add.reduceat(shingles * (mix(place) | np.uint64(1)), edge))
+            d = pa.array(doc)
+            sets = pa.ListArray.from_arrays(pa.array(np.append(edge, len(shingles)).astype(np.int32)), pa.array((shingles >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(d), batch.column(1).take(d), pa.array(first.astype(np.int32)), pa.array(np.diff(w.first).astype(np.int32)), pa.array(whole.view(np.int64)), *(pa.array(b.view(np.int64)) for b in bands), sets], names=names)
+
+    return rows.mapInArrow(run, f"_id {kind}, _th long, first int, n_words int, content long, " + ", ".join(f"k{b} long" for b in range(BANDS)) + ", shingles array<int>")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -116,17 +136,13 @@ def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str =
     the removals. Null texts and texts of fewer than 24 words have no paragraphs. A document's own repeats are listed
     once, and alone they make no cluster. Equal rows give equal rows, and are one document. No rows: none come out.
     """
-    source = docs.select(*text_key(doc_id, text), F.col(text).alias("_text"))
-    every = cut(_extract(source, False), "paragraphs")
-    texts = cut(every.groupBy("content").agg(F.count("*").alias("_n"), F.min_by(F.struct("_id", "_th"), "_th").alias("_from"), *(F.first(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "contents")
-    keys = texts.select("content", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("content").alias("least"), F.max("content").alias("_most")).filter("least <> _most").select("key", "least"), "buckets")
-    members = cut(keys.join(shared, "key").select("key", "content", "least"), "members")
-    # The shingles of the texts in such buckets, from one document of each.
-    wanted = members.select("content").distinct()
-    lists = cut(texts.join(wanted, "content").select("content", F.col("_from._id").alias("_i"), F.col("_from._th").alias("_t")).groupBy("_i", "_t").agg(F.collect_list("content").alias("_contents")), "wanted")
-    asked = source.join(lists, source["_id"].eqNullSafe(lists["_i"]) & (source["_th"] == lists["_t"])).select("_id", "_th", "_text", "_contents")
-    sets = cut(_extract(asked, True).dropDuplicates(["content"]), "shingles")
+    every = cut(_extract(docs.select(*text_key(doc_id, text), F.col(text).alias("_text"))), "paragraphs")
+    texts = cut(every.groupBy("content").agg(F.count("*").alias("_n")), "contents")
+    lines = every.filter("k0 is not null")
+    keys = lines.select("content", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key")).distinct()
+    bucket = Window.partitionBy("key")
+    members = cut(keys.withColumn("least", F.min("content").over(bucket)).withColumn("_most", F.max("content").over(bucket)).filter("least <> _most").select("key", "content", "least"), "members")
+    sets = cut(lines.join(members.select("content").distinct(), "content").groupBy("content").agg(F.first("shingles").alias("shingles")), "shingles")
     star = cut(_verified(members.filter("content <> least").select(F.col("least").alias("a"), F.col("content").alias("b")).distinct(), sets, threshold), "star-links")
     label = cut(components(star), "star-roots")
     named = cut(members.join(label, members["content"] == label["node"], "left").select("key", "content", F.coalesce("root", "content").alias("root")), "named")
@@ -137,16 +153,14 @@ def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str =
     # Only paragraphs in a component of several texts, or whose own text recurs, can have a copy.
     seen = (texts.join(roots, texts["content"] == roots["node"], "left").filter((F.col("_n") > 1) | F.col("root").isNotNull())
             .select("content", F.coalesce("root", "content").alias("cluster")))
-    listed = cut(every.select("_id", "_th", "first", "content").join(cut(seen, "seen"), "content").select("_id", "_th", "first", "cluster"), "listed")
+    listed = cut(every.select("_id", "_th", "first", "n_words", "content").join(cut(seen, "seen"), "content").select("_id", "_th", "first", "n_words", "cluster"), "listed")
     doc = F.struct("_id", "_th")
     spread = cut(listed.groupBy("cluster").agg(F.min(doc).alias("_low"), F.max(doc).alias("_high")).filter("_low <> _high").select("cluster", "_low"), "clusters")
-    return (listed.join(spread, "cluster").select("_id", "_th", "first", F.lit(WINDOW).alias("n_words"), "cluster", doc.eqNullSafe(F.col("_low")).alias("keep")))
+    return (listed.join(spread, "cluster").select("_id", "_th", "first", "n_words", "cluster", doc.eqNullSafe(F.col("_low")).alias("keep")))
 
 
 def passage_spans(paragraphs: DataFrame) -> DataFrame:
     """Joins the overlapping or adjoining paragraphs of each document: (_id, _th, first, n_words, clusters, keep), keep being true where all of them are kept."""
-    from pyspark.sql import Window
-
     turn = Window.partitionBy("_id", "_th").orderBy("first")
     end = F.col("first") + F.col("n_words")
     p = paragraphs.distinct().withColumn("_end", F.max(end).over(turn.rowsBetween(Window.unboundedPreceding, -1)))
