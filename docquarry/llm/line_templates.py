@@ -61,10 +61,10 @@ def drop_template_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Null texts stay null; a text all of whose lines go becomes empty. Equal rows get equal results. No rows: none come out.
     """
-    drops = cut(line_templates(docs, doc_id=doc_id, text=text, **params).groupBy("_id", "_th").agg(F.collect_set("line").alias("_drop")), "line-drops")
+    drops = cut(line_templates(docs, doc_id=doc_id, text=text, **params).groupBy(F.col("_id").alias("_dq_id"), F.col("_th").alias("_dq_th")).agg(F.collect_set("line").alias("_dq_drop")), "line-drops")
     th = F.xxhash64(F.col(text).isNull(), F.col(text))
-    joined = docs.join(drops, docs[doc_id].eqNullSafe(drops["_id"]) & (th == drops["_th"]), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    return (joined.withColumn("n_lines_dropped", F.coalesce(F.size("_drop"), F.lit(0)))
+    joined = docs.join(drops, docs[doc_id].eqNullSafe(drops["_dq_id"]) & (th == drops["_dq_th"]), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_dq_drop", i)), "\n")
+    return (joined.withColumn("n_lines_dropped", F.coalesce(F.size("_dq_drop"), F.lit(0)))
             .withColumn("n_lines_dropped", F.greatest("n_lines_dropped", F.lit(0)))
-            .withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left)).drop("_id", "_th", "_drop"))
+            .withColumn(text, F.when(F.col("_dq_drop").isNull(), F.col(text)).otherwise(left)).drop("_dq_id", "_dq_th", "_dq_drop"))

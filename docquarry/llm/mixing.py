@@ -133,10 +133,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), m
 def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as :func:`mix_sources` takes it, with all its columns."""
     copies = mix_sources(docs, doc_id=doc_id, text=text, **params).filter("copies > 0")
-    among = Window.partitionBy("_id", "_th").orderBy("_copies")
-    copies = cut(copies.select(F.col("doc_id").alias("_id"), "_th", F.col("copies").alias("_copies")).withColumn("_turn", F.row_number().over(among)), "mix-copies")
+    among = Window.partitionBy("_dq_id", "_dq_th").orderBy("_dq_copies")
+    copies = copies.select(F.col("doc_id").alias("_dq_id"), F.col("_th").alias("_dq_th"), F.col("copies").alias("_dq_copies"))
+    copies = cut(copies.withColumn("_dq_turn", F.row_number().over(among)), "mix-copies")
     id_, th = text_key(doc_id, text)
-    rows = docs.withColumn("_own_id", id_).withColumn("_own_th", th)
-    rows = rows.withColumn("_own_turn", F.row_number().over(Window.partitionBy("_own_id", "_own_th").orderBy(F.lit(0))))
-    joined = rows.join(copies, rows["_own_id"].eqNullSafe(copies["_id"]) & (rows["_own_th"] == copies["_th"]) & (rows["_own_turn"] == copies["_turn"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(joined[c] for c in docs.columns))
+    own = docs.withColumns({"_dq_own_id": id_, "_dq_own_th": th})
+    own = own.withColumn("_dq_own_turn", F.row_number().over(Window.partitionBy("_dq_own_id", "_dq_own_th").orderBy(F.lit(0))))
+    joined = own.join(copies, F.col("_dq_own_id").eqNullSafe(F.col("_dq_id")) & (F.col("_dq_own_th") == F.col("_dq_th")) & (F.col("_dq_own_turn") == F.col("_dq_turn")))
+    return joined.withColumn("_dq_copy", F.explode(F.sequence(F.lit(1), "_dq_copies"))).select(*docs.columns)
