@@ -10,7 +10,8 @@ Linked paragraphs and equal cuts are clustered by connected components. In each
 hold removals.
 
 Equal texts are one node of the graph, so a passage in every document costs one row a document. In a bucket all texts
-are first compared to its least one; only texts that this leaves in different components are compared further.
+are first compared to its least one; texts that this leaves in different components are compared further where they also
+share one of their rarest shingles, as all that are similar enough do (prefix filtering).
 """
 
 from __future__ import annotations
@@ -128,6 +129,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter(jaccard(F.col("_a"), F.col("_b")) >= threshold).select("a", "b")
 
 
+def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of ``rest`` (key, content, root) that share a key and a rare shingle, and have different roots.
+
+    Two sets of a Jaccard similarity of ``threshold`` or more share one of their first ``n - ceil(threshold * n) + 1``
+    shingles in any common order; in the order of rarity among ``rest``, a passage in many texts makes no pairs of them.
+    No pair of that similarity is lost.
+    """
+    keyed = rest.groupBy("content").agg(F.first("root").alias("root"), F.collect_set("key").alias("keys"))
+    held = cut(keyed.join(sets, "content").select("content", "root", "keys", F.array_distinct("shingles").alias("shingles")), "far-sets")
+    each = held.select("content", F.explode("shingles").alias("s"))
+    often = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "far-counts")
+    n = F.size("shingles")
+    # Shingles of one text alone come first in the order and pair nothing; only their number matters.
+    order = F.sort_array(F.collect_list(F.struct("df", "s")))
+    shared = each.join(often, "s").groupBy("content").agg(order.alias("order"))
+    reach = n - F.ceil(threshold * n - 1e-9) + 1 - (n - F.size("order"))
+    first = (held.join(shared, "content").select("content", "root", "keys", n.alias("n"), F.slice("order", F.lit(1), F.greatest(F.lit(0), reach).cast("int")).alias("order"))
+             .select("content", "root", "keys", "n", F.explode("order.s").alias("s")))
+    first = cut(first, "far-prefixes")
+    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "keys", "n"))) for k in "ab")
+    near = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & near & F.arrays_overlap("keys_a", "keys_b"))
+    return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b")).distinct()
+
+
 def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, first, n_words, cluster, keep): every paragraph that has a near copy in another document.
 
@@ -148,7 +174,7 @@ def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str =
     named = cut(members.join(label, members["content"] == label["node"], "left").select("key", "content", F.coalesce("root", "content").alias("root")), "named")
     mixed = cut(named.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("key"), "mixed")
     rest = cut(named.join(mixed, "key"), "rest")
-    far = rest.select("key", F.col("content").alias("a"), F.col("root").alias("_ra")).join(rest.select("key", F.col("content").alias("b"), F.col("root").alias("_rb")), "key").filter("_ra < _rb").select("a", "b").distinct()
+    far = cut(_rare_pairs(rest, sets, threshold), "far-pairs")
     roots = cut(components(star.unionAll(_verified(far, sets, threshold))), "roots")
     # Only paragraphs in a component of several texts, or whose own text recurs, can have a copy.
     seen = (texts.join(roots, texts["content"] == roots["node"], "left").filter((F.col("_n") > 1) | F.col("root").isNotNull())

@@ -279,3 +279,22 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "source mix", "binary output"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert out and sorted(r.start for r in out) == [0, *np.cumsum([r.n_tokens for r in sorted(out, key=lambda r: r.start)])[:-1].tolist()]
+
+
+def test_rare_pairs_lose_no_similar_pair(spark):
+    """All pairs of similarity 0.8 in a bucket, but not those that merely share a common passage."""
+    rnd = random.Random(3)
+    fresh = lambda n: [rnd.randrange(10**6) for _ in range(n)]
+    base, common, sets = [fresh(60) for _ in range(8)], fresh(30), []
+    for i in range(300):
+        b = list(base[i % 8]) if i % 3 else common + fresh(30)
+        for _ in range(rnd.randrange(9)):
+            b[rnd.randrange(len(b))] = rnd.randrange(10**6)
+        sets.append((i, b))
+    held = spark.createDataFrame(sets, "content long, shingles array<int>")
+    rest = held.select((F.col("content") % 2).alias("key"), "content", F.col("content").alias("root"))
+    pairs = paragraphs._rare_pairs(rest, held, 0.8)
+    s = [set(b) for _, b in sets]
+    want = {(i, j) for i in range(300) for j in range(i + 2, 300, 2) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
+    assert {(r.a, r.b) for r in paragraphs._verified(pairs, held, 0.8).collect()} == want
+    assert pairs.count() < 5 * len(want)
