@@ -230,6 +230,17 @@ def versions_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.versions_for(chunks(spark, sf_dir))
 
 
+@registered(f"WITH {_CHUNKS} SELECT chunk_id, source FROM c WHERE NOT coalesce(superseded, false)")
+def active_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.active_only(chunks(spark, sf_dir)).select("chunk_id", "source")
+
+
+@registered(f"WITH {_CHUNKS} SELECT source, max(version) AS version FROM c GROUP BY source")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of several active version ids of the highest version is meant is open in these tables, so it isn't compared."""
+    return corpus.latest_version(chunks(spark, sf_dir)).select("source", "version")
+
+
 @registered(f"WITH {_CHUNKS} SELECT count(DISTINCT source) AS sources, count(*) AS chunks_total, count(*) FILTER (WHERE NOT coalesce(superseded, false)) AS chunks_active FROM c")
 def documents_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.source_summary(chunks(spark, sf_dir)).agg(F.count("*").alias("sources"), F.sum("chunks_total").alias("chunks_total"), F.sum("chunks_active").alias("chunks_active"))
@@ -348,6 +359,14 @@ def cosine_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", tx.cosine_pair(F.col("a"), F.col("b")).alias("cosine"))
 
 
+_BENCH = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: length(t) > 2))"
+
+
+@registered(f"WITH {_PAIRS}, k AS (SELECT id, {_BENCH.format('generated')} AS g, {_BENCH.format('expected')} AS e FROM a) SELECT id, CASE WHEN len(e) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(e, g))::DOUBLE / len(e), 4) END AS overlap FROM k")
+def retrieval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer_pairs(spark, sf_dir).select("id", evaluate.retrieval_overlap(F.col("generated"), F.col("expected")).alias("overlap"))
+
+
 _RUNS = "ra AS (SELECT doc_id::VARCHAR || '/' || source AS question, (n_chars % 97) / 97.0::DOUBLE AS f1 FROM documents WHERE doc_id % 5 <> 0), rb AS (SELECT doc_id::VARCHAR || '/' || source AS question, (n_chars % 89) / 89.0::DOUBLE AS f1 FROM documents WHERE doc_id % 7 <> 0)"
 
 
