@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Words, cut, sliced, text_key
 
 FEATURES = ("length", "word", "symbol", "line", "repeat")
-FLOORS = (0.5, 0.15, 0.7, 0.25, 0.25)  # least standard deviations, since many groups have no symbols or repeats at all
-MEDIAN, FAR = 4.351, 37.0  # of chi-square with 5 degrees of freedom: the median, and the point that 6 of 10 million exceed
+FLOORS = (0.5, 0.15, 0.5, 0.19, 0.15)  # least standard deviations, since many groups have no symbols or repeats at all
+MEDIAN, FAR = 4.351, 20.515  # of chi-square with 5 degrees of freedom: the median, and the point that 1 of 1,000 exceeds
 KEPT = 0.75  # the share of a group that an estimate rests on
 STEPS = 3
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -133,7 +133,7 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
 def judge(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(_id, _th, the statistics, base_failed, distance, kept) for every row of ``docs``.
 
-    ``kept`` is false where the base rule fails or the squared distance exceeds that of 6 in 10 million normal documents.
+    ``kept`` is false where the base rule fails or the squared distance exceeds that of 1 in 1,000 normal documents.
     Estimates rest on all documents that pass the base rule. Null languages or sources are groups of their own; a group
     of fewer than ``least`` such documents takes its language's estimate, a language of fewer that of all. If there are
     none at all, nothing but the base rule rejects. Equal rows get equal results. No rows: none come out.

@@ -273,6 +273,24 @@ def test_quality(spark, docs, nothing, rows):
     assert quality.judge(nothing).count() == 0 and quality.keep_good(docs).columns == docs.columns
 
 
+def _plain(n=400, seed=1):
+    rnd = random.Random(seed)
+    return [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(60, 400))), "en", "a", "", 0) for i in range(n)]
+
+
+def test_quality_rejects_menus_and_repeated_lines(spark):
+    """Texts of 0.4 to 0.5 symbols a word, 5 to 19 duplicate lines, and words repeated almost as far as the base rule lets them."""
+    rnd = random.Random(2)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    menus = [" ".join(x for i, w in enumerate(fresh(200)) for x in ([w, "|"] if i % 5 < k else [w])) for k in (4, 5) for _ in range(5)]
+    dups = ["\n".join([" ".join(fresh(12)) for _ in range(12)] + [fresh(1)[0]] * (k + 1)) for k in range(5, 20)]
+    repeats = [" ".join([*fresh(110), *(r := fresh(50)), *r]) for _ in range(5)]
+    odd = [(1000 + i, t, "en", "a", "", 0) for i, t in enumerate([*menus, *dups, *repeats])]
+    out = quality.judge(spark.createDataFrame(_plain() + odd, SCHEMA)).collect()
+    assert not any(r.base_failed for r in out)
+    assert {r[0] for r in out if r.kept} == set(range(400))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
