@@ -1,10 +1,11 @@
 """Quality rules with robust multivariate outliers.
 
 Each document becomes a vector of transformed statistics. For every language and source, location and scatter are
-estimated by the minimum covariance determinant: from a start by medians and quartiles, concentration steps re-estimate
-both from the three quarters of the group with the least Mahalanobis distances. Documents far from their group's
-estimate are rejected. A step is one aggregation by group and distance bin, so no group is gathered in one place and all
-documents count; groups too small for their own estimate share that of their language, or of all.
+estimated by the minimum covariance determinant: from several starts, concentration steps re-estimate both from the half
+of the group with the least Mahalanobis distances until the determinant falls no more, and the least one found counts.
+Copies of junk may so make up nearly half of a group. Documents far from their group's estimate are rejected. A step is
+one aggregation by group, start and distance bin, so no group is gathered in one place and all documents count; groups
+too small for their own estimate share that of their language, or of all.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from docquarry.llm.common import Words, cut, sliced, text_key
 FEATURES = ("length", "word", "symbol", "line", "repeat")
 FLOORS = (0.5, 0.15, 0.5, 0.19, 0.15)  # least standard deviations, since many groups have no symbols or repeats at all
 MEDIAN, FAR = 4.351, 20.515  # of chi-square with 5 degrees of freedom: the median, and the point that 1 of 1,000 exceeds
-KEPT = 0.75  # the share of a group that an estimate rests on
-STEPS = 3
+KEPT = 0.5  # the share of a group that an estimate rests on
+CONSISTENT = 1.912  # a normal sample's variance over that of its half of least distances: 0.5 / P(chi-square with 7 degrees of freedom <= MEDIAN)
+STEPS = 50  # a bound only: 4 to 20 are usual
+FALL = 1e-4  # of the log determinant; a start whose step falls by less has converged
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
@@ -94,27 +97,46 @@ def _bin(d2: Column) -> Column:
     return F.least(F.lit(400), F.floor(20 * F.log1p(F.greatest(F.lit(0.0), d2)))).cast("int")
 
 
-_PARAMS = "_pool string, m array<double>, p array<double>"
+_PARAMS = "_pool string, _start string, m array<double>, p array<double>, det double, moving boolean"
 
 
 def _packed(inverse: np.ndarray) -> list[float]:
     return [float(inverse[i, j]) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
-def _start(group: pd.DataFrame) -> pd.DataFrame:
-    """Medians and quartile ranges from histograms of each feature (in 64ths)."""
-    m, s = [], []
+def _median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    c = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(c, 0.5 * c[-1])])
+
+
+def _shortest_half(x: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Middle and half width of the least interval that holds half of the values; ``x`` ascending."""
+    c = np.cumsum(n)
+    begin = np.concatenate(([0], c[:-1]))
+    end = np.searchsorted(c, begin + 0.5 * c[-1])
+    fits = np.flatnonzero(end < len(x))
+    k = fits[np.argmin(x[end[fits]] - x[fits])]
+    return float(x[k] + x[end[k]]) / 2, float(x[end[k]] - x[k]) / 2
+
+
+def _starts(group: pd.DataFrame) -> pd.DataFrame:
+    """From histograms of each feature (in 64ths): medians with median deviations, medians with the floors alone, and shortest halves."""
+    found = {"median": [], "floor": [], "half": []}
     for i in range(len(FEATURES)):
         g = group[group["_f"] == i].sort_values("_b")
-        c = g["_n"].cumsum().to_numpy()
-        q = [(g["_b"].to_numpy()[np.searchsorted(c, f * c[-1])] + 0.5) / 64 for f in (0.25, 0.5, 0.75)]
-        m.append(q[1])
-        s.append(max((q[2] - q[0]) / 1.349, FLOORS[i]))
-    return pd.DataFrame({"_pool": [group["_pool"].iloc[0]], "m": [m], "p": [_packed(np.diag(1 / np.square(s)))]})
+        x, n = (g["_b"].to_numpy() + 0.5) / 64, g["_n"].to_numpy()
+        middle = _median(x, n)
+        half, width = _shortest_half(x, n)
+        found["median"].append((middle, 1.4826 * _median(np.abs(x - middle), n)))
+        found["floor"].append((middle, 0.0))
+        found["half"].append((half, 1.4826 * width))
+    return pd.DataFrame([{"_pool": group["_pool"].iloc[0], "_start": k, "m": [m for m, _ in v], "p": _packed(np.diag([1 / max(s, f) ** 2 for (_, s), f in zip(v, FLOORS, strict=True)])), "det": math.inf, "moving": True}
+                         for k, v in found.items()])
 
 
 def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
-    """Mean and scatter of the bins of least distance that hold the kept share of a group, rescaled so that its median distance is a chi-square's."""
+    """Mean and scatter of the bins of least distance that hold the kept share of a group, from one start, and the log of the scatter's determinant."""
     d = len(FEATURES)
     g = group.sort_values("_bin")
     c = g["_n"].cumsum().to_numpy()
@@ -125,9 +147,10 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
     for i in range(d):
         for j in range(i, d):
             cov[i, j] = cov[j, i] = g[f"q{i}{j}"].sum() / n - mean[i] * mean[j]
-    cov *= 1.9  # the kept share of a normal sample has about so much less variance
+    cov *= CONSISTENT
     cov += np.diag(np.square(FLOORS))
-    return pd.DataFrame({"_pool": [group["_pool"].iloc[0]], "m": [mean.tolist()], "p": [_packed(np.linalg.inv(cov))]})
+    det, was = float(np.linalg.slogdet(cov)[1]), float(group["_was"].iloc[0])
+    return pd.DataFrame({"_pool": [group["_pool"].iloc[0]], "_start": [group["_start"].iloc[0]], "m": [mean.tolist()], "p": [_packed(np.linalg.inv(cov))], "det": [det], "moving": [det < was - FALL]})
 
 
 def judge(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -153,11 +176,17 @@ def judge(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id", text: st
              .unionAll(clean.withColumn("_all", F.lit("all")).join(every, F.col("_all") == F.col("_wide")).select(F.col("_wide").alias("_pool"), *xs)))
     d = len(FEATURES)
     bins = clean.select("_pool", F.posexplode(F.array(*(F.floor(64 * F.col(f"x{i}")) for i in range(d)))).alias("_f", "_b")).groupBy("_pool", "_f", "_b").agg(F.count("*").alias("_n"))
-    params = cut(bins.groupBy("_pool").applyInPandas(_start, _PARAMS), "mcd")
+    params = cut(bins.groupBy("_pool").applyInPandas(_starts, _PARAMS), "mcd")
     sums = [F.count("*").alias("_n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(d) for j in range(i, d))]
+    found = None
     for _ in range(STEPS):
-        binned = clean.join(params, "_pool").withColumn("_bin", _bin(_distance())).groupBy("_pool", "_bin").agg(*sums)
-        params = cut(binned.groupBy("_pool").applyInPandas(_concentrate, _PARAMS), "mcd")
+        binned = clean.join(params, "_pool").withColumn("_bin", _bin(_distance())).groupBy("_pool", "_start", "_bin").agg(F.first("det").alias("_was"), *sums)
+        params = cut(binned.groupBy("_pool", "_start").applyInPandas(_concentrate, _PARAMS), "mcd")
+        found = params if found is None else found.unionAll(params)
+        params = params.filter("moving")
+        if params.isEmpty():
+            break
+    params = cut(found.groupBy("_pool").agg(F.min_by(F.struct("m", "p"), F.struct("det", "_start")).alias("_x")).select("_pool", "_x.m", "_x.p"), "mcd")
     # Rescaled by the median distance, as is usual for this estimate; never below 1, so that tight groups aren't cut closer.
     halves = clean.join(params, "_pool").select("_pool", _bin(_distance()).alias("_bin")).groupBy("_pool", "_bin").agg(F.count("*").alias("_n"))
     turn = Window.partitionBy("_pool").orderBy("_bin")

@@ -291,6 +291,19 @@ def test_quality_rejects_menus_and_repeated_lines(spark):
     assert {r[0] for r in out if r.kept} == set(range(400))
 
 
+def test_quality_withstands_copies_of_junk(spark):
+    """A third of a group are copies of one document of symbols, or of one of repeated lines: they go, and the others stay."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    menu = " ".join(x for i, w in enumerate(fresh(200)) for x in ([w, "|"] if i % 5 < 4 else [w]))
+    lines = "\n".join([" ".join(fresh(12)) for _ in range(12)] + [fresh(1)[0]] * 12)
+    hot = [(1000 + i, t, "en", s, "", 0) for s, t in (("menu", menu), ("lines", lines)) for i in range(200)]
+    rows = [(*r[:3], s, *r[4:]) for s in ("menu", "lines") for r in _plain()]
+    out = quality.judge(spark.createDataFrame(rows + hot, SCHEMA)).collect()
+    assert not any(r.base_failed for r in out)
+    assert Counter(r[0] for r in out if r.kept) == {i: 2 for i in range(400)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
