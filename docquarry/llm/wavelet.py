@@ -140,21 +140,22 @@ class _Encoder:
 
     The vocabulary's pattern never joins a character with white space after it, so a text may be cut before any space
     that stands between two other characters. Pieces new to a worker are encoded by the library in one string, whose ids
-    are parted by the tokens' byte lengths, and remembered. A text with runs of white space, or other white space than
-    spaces and line ends, is encoded in one go.
+    are parted by the tokens' byte lengths, and remembered. A text with runs of white space, other white space than
+    spaces and line ends, or the content of an added token is encoded in one go.
     """
 
     ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-    @classmethod
-    def odd(cls, text: str) -> bool:
-        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or bool(cls.ODD.search(text))
+    def odd(self, text: str) -> bool:
+        return any(c in text for c in self.added) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or bool(self.ODD.search(text))
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        # Content with white space could also arise where pieces meet; then every text is encoded in one go.
+        self.added = [""] if any(c.isspace() for t in added for c in t.content) else [t.content for t in added]
         vocab = self.library.get_vocab()
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():

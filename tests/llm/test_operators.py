@@ -223,6 +223,18 @@ def test_encoder_equals_library():
     assert encoder.encode(texts) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
+def test_encoder_keeps_added_tokens(spark):
+    """Against a fresh library object: added tokens alone, inside words and beside remembered pieces."""
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b two", "one two <|endoftext", "two  <|endoftext|>\n<|endoftext|> one", "one two", "<| endoftext |> one"]
+    fresh = [Tokenizer.from_file(TOKENIZER).encode(t, add_special_tokens=False).ids for t in texts]
+    assert fresh[0] == [505, 220, 50256, 734]
+    assert wavelet._Encoder(TOKENIZER).encode(texts) == [np.array(ids, "<u2").tobytes() for ids in fresh]
+    out = wavelet.read_shards(wavelet.write_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER)).collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in sorted(out)] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for ids in fresh]
+
+
 def test_repeated_passages(spark, docs, nothing):
     rnd = random.Random(4)
     wide = [f"w{i}" for i in range(5000)]
