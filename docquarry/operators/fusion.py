@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +18,38 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared scratch folder (a fresh local one only where the session names none) and read back."""
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}").rstrip("/")
+    path = f"{folder}/docquarry-vector-hits-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block: int = 1000, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, score, rank): cosine of every query with every vector, the best ``k`` of each query.
 
-    Queries come in one sorted array per ``block`` that is sent to all tasks; vectors are scanned once and never shuffled,
-    and only each task's best ``k`` of a query reach the shuffle (a window group limit).
+    Queries are dealt by a hash of their id into blocks of about ``block``. Vectors are scanned once for each block, which
+    alone is sent to all tasks then, and never shuffled; only each task's best ``k`` of a query reach the shuffle (a window
+    group limit). With several blocks, each one's hits are written to the shared folder before the next one is sent.
     """
     unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(_dot(v.cast("array<double>"), v.cast("array<double>"))))
     q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
-    q = q.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block)).groupBy("_block").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
     v = vectors.select(F.col(chunk_id).alias("chunk_id"), unit(F.col(vector)).alias("_v"))
-    pairs = v.join(F.broadcast(q), F.lit(True)).select("chunk_id", "_v", F.explode("_qs").alias("_x"))
-    hits = pairs.select(F.col("_x.query_id").alias("query_id"), "chunk_id", F.round(_dot(F.col("_v"), F.col("_x._q")), 6).alias("score"))
-    return top_k(hits, k, ["query_id"])
+
+    def search(some: DataFrame) -> DataFrame:
+        sent = some.agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
+        pairs = v.join(F.broadcast(sent), F.lit(True)).select("chunk_id", "_v", F.explode("_qs").alias("_x"))
+        hits = pairs.select(F.col("_x.query_id").alias("query_id"), "chunk_id", F.round(_dot(F.col("_v"), F.col("_x._q")), 6).alias("score"))
+        return top_k(hits, k, ["query_id"])
+
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        return search(q)
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_written(search(q.filter(dealt == b))) for b in range(blocks)]
+    return reduce(DataFrame.unionAll, found)
 
 
 def rrf_fuse(vector_hits: DataFrame, bm25_hits: DataFrame, k: int = 10, *, weights: tuple[float, float] = (1.0, 1.0), rrf_k: int = RRF_K) -> DataFrame:
