@@ -1,6 +1,7 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions only.
 
-The ring is cut into equal cells. Every shard has ``vnodes`` points on it. Keys are served in ring order: a key goes to
+The ring is cut into equal cells. Every shard has ``vnodes`` points on it, each named by its shard and its number alone, so
+one more shard adds points and moves none. Keys are served in ring order: a key goes to
 the first point clockwise of its cell whose shard still has room, so what overflows a full shard continues clockwise.
 Only the number of keys of each cell decides how many of them stay and how many move on, so the sequential part runs
 over one row per cell (a fixed number), and the rows themselves are only counted, ranked within their cell and joined
@@ -23,8 +24,9 @@ def allocate(counts: DataFrame, n_shards: int, vnodes: int, bits: int, slack: fl
     ``counts`` has (_cell, _n). At most 2**bits + n_shards rows come out.
     """
     spark, cells = counts.sparkSession, 1 << bits
+    shard, number = F.floor(F.col("id") / vnodes).cast("int"), (F.col("id") % vnodes).cast("int")
     points = spark.range(n_shards * vnodes, numPartitions=1).select(
-        (F.col("id") % n_shards).cast("int").alias("shard"), _cell(F.xxhash64(F.lit("virtual node"), F.col("id")), bits).alias("_at"), F.lit(True).alias("_point"))
+        shard.alias("shard"), _cell(F.xxhash64(F.lit("virtual node"), shard, number), bits).alias("_at"), F.lit(True).alias("_point"))
     ring = points.unionAll(points.withColumn("_at", F.col("_at") + cells))
     asked = spark.range(cells, numPartitions=1).select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"), F.col("id").cast("int").alias("_at"), F.lit(False).alias("_point"))
     ahead = Window.partitionBy("shard").orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
@@ -61,7 +63,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, *, vnodes: int = 64, bi
     Returns doc_id, size (UTF-8 bytes of the text and 1; null text: 1), text_crc32 (null text: of the empty one), shard
     and slot (0, 1, ... within the shard). ``slack`` 0 bounds every shard at the mean, so counts differ by one at most; a
     larger slack bounds them at (1 + slack) times the mean and moves fewer rows when a shard is added. Rows are keyed by
-    doc_id (null: by text). Equal keys are ranked by size and checksum; equal rows are interchangeable. No rows: none
+    doc_id (null: by text); rows of equal texts are so dealt apart, since a text that a third of all rows share fits no
+    bounded shard. Equal keys are ranked by size and checksum; equal rows are interchangeable. No rows: none
     come out. ``2**bits`` cells are the unit of the ring; raise it beyond some 10^10 rows. Other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
