@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -230,6 +231,20 @@ def test_wavelet_lookup():
         assert m.count(t, 100, 900) == (ids[100:900] == t).sum()
 
 
+def test_lookup_inflates_few_frames():
+    """On several frames a plane: the same answers, from only those frames that a lookup touches."""
+    ids = np.random.default_rng(2).integers(0, 500, 3 * 8 * wavelet.FRAME + 77).astype("<u2")
+    names = pa.array(["x", None, "y"])
+    file = wavelet.build(ids, np.array([5, 0, len(ids) - 5]), names)
+    m = wavelet.WaveletMatrix(file)
+    assert m.per_plane == 4 and m.names.equals(names) and m.counts.tolist() == [5, 0, len(ids) - 5]
+    assert m.access(8 * wavelet.FRAME) == ids[8 * wavelet.FRAME] and len(m.inflated) <= m.planes
+    where = np.flatnonzero(ids == 17)
+    assert m.count(17) == len(where) and m.select(17, len(where) - 1) == where[-1] and (m.decode() == ids).all()
+    empty = wavelet.WaveletMatrix(wavelet.build(ids[:0], np.zeros(0, np.int64)))
+    assert empty.decode().tolist() == [] and empty.count(0) == 0
+
+
 def test_encoder_equals_library():
     encoder = wavelet._Encoder(TOKENIZER)
     texts = ["a  b\n c\t d  e ", "x\n\n y", "", " lead", "trail ", "plain words, here.\nNext line's end", "naïve x é", "don't 12 34's"]
