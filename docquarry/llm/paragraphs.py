@@ -10,7 +10,7 @@ Linked paragraphs and equal cuts are clustered by connected components. In each
 hold removals.
 
 Equal texts are one node of the graph, so a passage in every document costs one row a document. In a bucket all texts
-are first compared to its least one; texts that this leaves in different components are compared further where they also
+are first compared to its most frequent one; texts that this leaves in different components are compared further where they also
 share one of their rarest shingles, as all that are similar enough do (prefix filtering).
 """
 
@@ -28,6 +28,7 @@ from docquarry.llm.components import components
 
 WINDOW, GRAM, SHINGLE = 24, 4, 5
 BANDS, ROWS = 4, 2
+MAPS = 8  # 64-bit words of a set's bitmap
 _SEEDS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -134,10 +135,13 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
     Two sets of a Jaccard similarity of ``threshold`` or more share one of their first ``n - ceil(threshold * n) + 1``
     shingles in any common order; in the order of rarity among ``rest``, a passage in many texts makes no pairs of them.
-    No pair of that similarity is lost.
+    Neither does a pair of that similarity differ in more than ``(1 - threshold) / (1 + threshold)`` of both sets' elements
+    together, and no fewer than the bits in which bitmaps of the sets differ. No pair of that similarity is lost.
     """
     keyed = rest.groupBy("content").agg(F.first("root").alias("root"), F.collect_set("key").alias("keys"))
-    held = cut(keyed.join(sets, "content").select("content", "root", "keys", F.array_distinct("shingles").alias("shingles")), "far-sets")
+    held = keyed.join(sets, "content").select("content", "root", "keys", F.array_distinct("shingles").alias("shingles"))
+    maps = F.array(*(F.expr(f"aggregate(shingles, 0L, (held, s) -> if(((s >> 6) & {MAPS - 1}) = {m}, held | shiftleft(1L, s & 63), held))") for m in range(MAPS)))
+    held = cut(held.withColumn("maps", maps), "far-sets")
     each = held.select("content", F.explode("shingles").alias("s"))
     often = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "far-counts")
     n = F.size("shingles")
@@ -145,12 +149,14 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     order = F.sort_array(F.collect_list(F.struct("df", "s")))
     shared = each.join(often, "s").groupBy("content").agg(order.alias("order"))
     reach = n - F.ceil(threshold * n - 1e-9) + 1 - (n - F.size("order"))
-    first = (held.join(shared, "content").select("content", "root", "keys", n.alias("n"), F.slice("order", F.lit(1), F.greatest(F.lit(0), reach).cast("int")).alias("order"))
-             .select("content", "root", "keys", "n", F.explode("order.s").alias("s")))
+    first = (held.join(shared, "content").select("content", "root", "keys", "maps", n.alias("n"), F.slice("order", F.lit(1), F.greatest(F.lit(0), reach).cast("int")).alias("order"))
+             .select("content", "root", "keys", "maps", "n", F.explode("order.s").alias("s")))
     first = cut(first, "far-prefixes")
-    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "keys", "n"))) for k in "ab")
+    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "keys", "maps", "n"))) for k in "ab")
     near = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & near & F.arrays_overlap("keys_a", "keys_b"))
+    apart = sum((F.bit_count(F.col("maps_a")[m].bitwiseXOR(F.col("maps_b")[m])) for m in range(MAPS)), F.lit(0))
+    alike = apart <= (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & near & alike & F.arrays_overlap("keys_a", "keys_b"))
     return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b")).distinct()
 
 
@@ -165,11 +171,13 @@ def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str =
     every = cut(_extract(docs.select(*text_key(doc_id, text), F.col(text).alias("_text"))), "paragraphs")
     texts = cut(every.groupBy("content").agg(F.count("*").alias("_n")), "contents")
     lines = every.filter("k0 is not null")
-    keys = lines.select("content", F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key")).distinct()
-    bucket = Window.partitionBy("key")
-    members = cut(keys.withColumn("least", F.min("content").over(bucket)).withColumn("_most", F.max("content").over(bucket)).filter("least <> _most").select("key", "content", "least"), "members")
+    distinct = cut(lines.groupBy("content").agg(F.count("*").alias("_n"), *(F.first(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "distinct-lines")
+    keys = distinct.select("content", "_n", F.explode(F.array_distinct(F.array(*(f"k{b}" for b in range(BANDS))))).alias("key"))
+    # The centre of a bucket is its most frequent text: copies with changes are most like what they were copied from.
+    bucket = keys.groupBy("key").agg(F.min("content").alias("_low"), F.max("content").alias("_high"), F.max_by("content", F.struct("_n", "content")).alias("centre")).filter("_low <> _high").select("key", "centre")
+    members = cut(keys.join(cut(bucket, "buckets"), "key").select("key", "content", "centre"), "members")
     sets = cut(lines.join(members.select("content").distinct(), "content").groupBy("content").agg(F.first("shingles").alias("shingles")), "shingles")
-    star = cut(_verified(members.filter("content <> least").select(F.col("least").alias("a"), F.col("content").alias("b")).distinct(), sets, threshold), "star-links")
+    star = cut(_verified(members.filter("content <> centre").select(F.col("centre").alias("a"), F.col("content").alias("b")).distinct(), sets, threshold), "star-links")
     label = cut(components(star), "star-roots")
     named = cut(members.join(label, members["content"] == label["node"], "left").select("key", "content", F.coalesce("root", "content").alias("root")), "named")
     mixed = cut(named.groupBy("key").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("key"), "mixed")
