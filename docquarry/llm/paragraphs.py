@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of at least ``WINDOW`` words. They are banded by MinHash over their five-word shingles (4 bands
+Paragraphs are the lines of at least ``least`` words (``WINDOW``, unless told otherwise). They are banded by MinHash over their five-word shingles (4 bands
 of 2: an exact copy always meets, one of Jaccard 0.8 in 98 of 100 cases); colliding ones are verified by exact Jaccard.
 Repeated passages rarely begin at a line break, though, so texts are cut a second time, by content: among every
 ``WINDOW`` consecutive positions the word n-gram of least hash is an anchor (winnowing), and a cut is the ``WINDOW``
@@ -72,14 +72,14 @@ def cut_windows(w: Words, h: np.ndarray, shingles: np.ndarray, s_at: np.ndarray)
     return begin[once], content[once]
 
 
-def cut_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The lines of at least WINDOW words, the text of each, and its first word's number in that text."""
+def cut_lines(texts: list[bytes], least: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The lines of at least ``least`` words, the text of each, and its first word's number in that text."""
     lines, doc, first = [], [], []
     for d, t in enumerate(texts):
         at = 0
         for line in t.split(b"\n"):
             n = len(line.split())
-            if n >= WINDOW:
+            if n >= least:
                 lines.append(line)
                 doc.append(d)
                 first.append(at)
@@ -87,7 +87,7 @@ def cut_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return lines, np.array(doc, np.int64), np.array(first, np.int64)
 
 
-def _extract(rows: DataFrame) -> DataFrame:
+def _extract(rows: DataFrame, least: int) -> DataFrame:
     """Of ``rows`` (_id, _th, _text): _id, _th, first, n_words, content, and for lines the band keys k0.. and the shingles (as 32-bit hashes)."""
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", "_th", "first", "n_words", "content", *(f"k{b}" for b in range(BANDS)), "shingles"]
@@ -101,7 +101,7 @@ def _extract(rows: DataFrame) -> DataFrame:
             none = [pa.nulls(len(begin), pa.int64())] * BANDS
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(d), batch.column(1).take(d), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(np.full(len(begin), WINDOW, np.int32)), pa.array(content.view(np.int64)), *none, pa.nulls(len(begin), pa.list_(pa.int32()))], names=names)
-            lines, doc, first = cut_lines(texts)
+            lines, doc, first = cut_lines(texts, least)
             if not lines:
                 continue
             w = Words(lines, lower=True)
@@ -160,15 +160,16 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b")).distinct()
 
 
-def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, least: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, first, n_words, cluster, keep): every paragraph that has a near copy in another document.
 
     ``first`` is its first word's number in the text (words are lower-cased, A-Z), ``n_words`` its length, ``cluster`` its
     component. ``keep`` marks the paragraphs of the least document (by id, then text hash) of each cluster; the rest are
-    the removals. Null texts and texts of fewer than 24 words have no paragraphs. A document's own repeats are listed
+    the removals. Null texts and texts of fewer than 24 words have no paragraphs. ``least`` is the
+    length in words from which a line is a paragraph of its own (5 or more: one shingle). A document's own repeats are listed
     once, and alone they make no cluster. Equal rows give equal rows, and are one document. No rows: none come out.
     """
-    every = cut(_extract(docs.select(*text_key(doc_id, text), F.col(text).alias("_text"))), "paragraphs")
+    every = cut(_extract(docs.select(*text_key(doc_id, text), F.col(text).alias("_text")), least), "paragraphs")
     texts = cut(every.groupBy("content").agg(F.count("*").alias("_n")), "contents")
     lines = every.filter("k0 is not null")
     distinct = cut(lines.groupBy("content").agg(F.count("*").alias("_n"), *(F.first(f"k{b}").alias(f"k{b}") for b in range(BANDS))), "distinct-lines")

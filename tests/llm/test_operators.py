@@ -275,7 +275,39 @@ def test_repeated_passages(spark, docs, nothing):
     assert {(r[0], r.keep) for r in whole} == {(303, True), (304, False)} and len({r.cluster for r in whole}) == 1
     spans = paragraphs.passage_spans(spark.createDataFrame(out)).collect()
     assert {r[0] for r in spans} == {300, 301, 303, 304}
-    assert paragraphs.repeated_passages(nothing).count() == 0 and paragraphs.repeated_passages(docs).count() > 0
+    assert paragraphs.repeated_passages(nothing).count() == 0
+    # Equal rows and texts: ids 0 and 62 share a text of one line, and so do both rows of id 1; with lines from 5 words on these are found too.
+    short = [(1, "one two three four five six seven"), (2, "ONE two three four five six seven\nand more"), (3, "one two three four")]
+    out = paragraphs.repeated_passages(spark.createDataFrame(short, "doc_id long, text string"), least=5).collect()
+    assert sorted((r[0], r.n_words, r.keep) for r in out) == [(1, 7, True), (2, 7, False)]
+    assert paragraphs.repeated_passages(spark.createDataFrame(short, "doc_id long, text string")).count() == 0
+
+
+def test_lines_against_all_pairs(spark):
+    """Lines of 24 to 60 words with changes: clusters are those of all pairs of Jaccard 0.8, but for what 4 bands miss."""
+    rnd = random.Random(12)
+    base = [[f"w{rnd.randrange(10**5)}" for _ in range(rnd.randrange(24, 60))] for _ in range(12)]
+    lines = []
+    for k in range(240):
+        w = list(base[k % 12])
+        for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+            w[rnd.choice([0, len(w) - 1, rnd.randrange(len(w))])] = f"x{rnd.randrange(10**5)}"
+        lines.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, lines)]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    out = [r for r in paragraphs.repeated_passages(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.first == 0 and r.n_words > 24]
+    label = {r[0]: r.cluster for r in out}
+    assert all(find(i) == find(j) for i in label for j in label if label[i] == label[j])
+    assert sum(label.get(i, -1) == label.get(j, -2) for i, j in pairs) >= 0.97 * len(pairs)
 
 
 def test_urls(spark):
