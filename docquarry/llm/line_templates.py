@@ -3,7 +3,7 @@
 Lines pass a tree of fixed depth: first by their number of tokens, then by their leading tokens, in which anything with
 a digit stands for a variable field. In a leaf that enough documents reach, a token that recurs at its place in enough
 documents belongs to the template, and any other is a variable field (``<*>``). A template needs at least half of its
-tokens fixed; else the line stands for itself. Lines whose template recurs in enough documents are dropped.
+tokens fixed; else the line stands for itself, figures and all. Lines whose template recurs in enough documents are dropped.
 
 Spark does the grouping: a leaf is a key, its token counts are one aggregation, so no leaf is gathered in one place.
 """
@@ -13,21 +13,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import SPACE, cut, text_key
+from docquarry.llm.common import cut, text_key
 
 FIELD = "<*>"
 
 
+def plain_spaces(text: Column) -> Column:
+    r"""``text`` with a space for each white-space character but ``\n`` (looked for first, as most texts have none)."""
+    odd = "\t\x0b\x0c\r"
+    return F.when(F.greatest(*(F.contains(text, F.lit(c)) for c in odd)), F.translate(text, odd, " " * len(odd))).otherwise(text)
+
+
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    """The words of a line that has no white space but spaces."""
+    return F.array_remove(F.split(line, " "), "")
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
+def _variable(token: Column) -> Column:
+    return token.rlike("[0-9]")
 
 
 def leaf(words: Column, depth: int) -> Column:
-    return F.concat_ws(" ", F.size(words).cast("string"), F.array_join(F.transform(F.slice(words, 1, depth), _masked), " "))
+    """The leaf that a line of ``words`` comes to: a hash of their number and the leading ones."""
+    leading = (F.get(words, F.lit(i)) for i in range(depth))
+    return F.xxhash64(F.size(words), *(F.when(_variable(w), FIELD).otherwise(w) for w in leading))
 
 
 def line_templates(docs: DataFrame, *, depth: int = 4, least: int = 5, similar: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,12 +46,12 @@ def line_templates(docs: DataFrame, *, depth: int = 4, least: int = 5, similar:
     id and text count once in what recurs, and give equal rows. Null texts have no lines.
     """
     lines = (docs.select(*text_key(doc_id, text), F.col(text).alias("_text"))
-             .select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
-             .withColumn("_words", tokens(F.col("_line"))).filter(F.size("_words") > 0)
-             .withColumn("_leaf", F.xxhash64(leaf(F.col("_words"), depth))))
+             .select("_id", "_th", F.posexplode(F.split(plain_spaces(F.col("_text")), "\n")).alias("line", "_line"))
+             .filter(F.trim("_line") != "").select("_id", "_th", "line", tokens(F.col("_line")).alias("_words"))
+             .withColumn("_leaf", leaf(F.col("_words"), depth)))
     reached = lines.select("_leaf", "_id", "_th").distinct().groupBy("_leaf").agg(F.count("*").alias("_docs")).filter(F.col("_docs") >= least)
-    kept = cut(lines.join(cut(reached, "leaves").select("_leaf"), "_leaf").select("_id", "_th", "line", "_leaf", F.transform("_words", _masked).alias("_words")), "leaf-lines")
-    placed = kept.select("_leaf", "_id", "_th", "line", F.posexplode("_words").alias("_at", "_token")).filter(F.col("_token") != FIELD)
+    kept = cut(lines.join(cut(reached, "leaves").select("_leaf"), "_leaf").select("_id", "_th", "line", "_leaf", "_words"), "leaf-lines")
+    placed = kept.select("_leaf", "_id", "_th", "line", F.posexplode("_words").alias("_at", "_token")).filter(~_variable(F.col("_token")))
     fixed = (placed.select("_leaf", "_at", "_token", "_id", "_th").distinct().groupBy("_leaf", "_at", "_token").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
              .select("_leaf", "_at", "_token"))
     # What is fixed of each line: one row per line again.

@@ -72,14 +72,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
         l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM d),
         t AS (SELECT doc_id, text, n, list_transform(list_filter(string_split_regex(line, '{_SPACES}'), lambda x: x <> ''), lambda x: x) AS ws FROM l),
-        m AS (SELECT doc_id, text, n, list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ws FROM t WHERE len(ws) > 0),
+        m AS (SELECT doc_id, text, n, ws AS raw, list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS ws FROM t WHERE len(ws) > 0),
         f AS (SELECT *, len(ws)::VARCHAR || ' ' || array_to_string(ws[1:4], ' ') AS leaf FROM m),
         r AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id, text FROM f) GROUP BY leaf HAVING count(*) >= 5),
         k AS (SELECT f.* FROM f JOIN r USING (leaf)),
-        p AS (SELECT leaf, doc_id, text, n, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM k),
+        p AS (SELECT leaf, doc_id, text, n, unnest(ws) AS token, unnest(raw) AS word, generate_subscripts(ws, 1) AS pos FROM k),
         x AS (SELECT leaf, pos, token FROM (SELECT DISTINCT leaf, pos, token, doc_id, text FROM p WHERE token <> '<*>') GROUP BY ALL HAVING count(*) >= 5),
         g AS (SELECT p.doc_id, p.text, p.n, count(x.pos) AS n_fixed, count(*) AS n_words,
-                     string_agg(CASE WHEN x.pos IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS general, string_agg(p.token, ' ' ORDER BY p.pos) AS own
+                     string_agg(CASE WHEN x.pos IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS general, string_agg(p.word, ' ' ORDER BY p.pos) AS own
               FROM p LEFT JOIN x ON p.leaf = x.leaf AND p.pos = x.pos AND p.token = x.token GROUP BY ALL),
         q AS (SELECT doc_id, text, n, CASE WHEN n_fixed >= 0.5 * n_words THEN general ELSE own END AS template FROM g),
         c AS (SELECT template FROM (SELECT DISTINCT template, doc_id, text FROM q) GROUP BY template HAVING count(*) >= 5),
