@@ -164,11 +164,37 @@ def test_context_mixing(docs, nothing, rows):
     assert context_mixing.score_documents(nothing).count() == 0
 
 
+def test_context_mixing_does_not_depend_on_partitions(spark):
+    """The same scores from 4 and 16 partitions; and held-out documents score above the base."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    was, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out.append({r.doc_id: r for r in context_mixing.score_documents(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(out[0]) == docs.count() and all(abs(r.score - out[1][i].score) < 1e-6 * -r.score for i, r in out[0].items())
+    held = [r for r in out[0].values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_very_long_word(spark):
+    """A text without spaces is worked on in pieces."""
+    long = "".join(random.Random(3).choice("abcdefg") for _ in range(3 * context_mixing.PIECE + 100))
+    docs = spark.createDataFrame([(i, "some plain words here", "en") for i in range(30)] + [(99, long, "en"), (98, long[: context_mixing.PIECE], None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in context_mixing.score_documents(docs).collect()}
+    assert len(out) == 32 and out[99].n_tokens == 2 and np.isfinite(out[99].score) and out[99].score < out[98].score < out[0].score
+    groups = list(context_mixing._in_pieces([b"", long.encode(), b"x"], 1 << 13))
+    assert [len(g) for g, _ in groups] == [3, 3] and max(len(w) for g, _ in groups for w in g) == context_mixing.PIECE
+    assert b"".join(w for g, _ in groups for w in g) == long.encode() + b"x"
+
+
 def test_model_is_a_distribution(spark):
     """All one-byte words and the space sum to at most 1."""
     model = context_mixing.train(spark.createDataFrame([(b"the", 50), (b"of", 20), (b"a", 9)], "word binary, n long"))
     words = [bytes([c]) for c in range(256) if c != 32] + [b"the", b"of"]
-    p = 10 ** model.score(context_mixing._Bits(words), len(words))
+    p = 10 ** model.score(words)
     assert 0.3 < p.sum() <= 1.0001
 
 
