@@ -1,7 +1,8 @@
 """URL filters: rules first; for the rest, host word segmentation and multinomial naive Bayes.
 
-Concatenated host names are split into words by a unigram Viterbi pass over word counts taken from all pages. Naive
-Bayes then scores the words of the host and of the path; it learns from the urls that the rules decide.
+Host labels are parted into runs of letters and of digits. Concatenated letters are split into words by a unigram Viterbi
+pass over word counts taken from all pages. Multinomial naive Bayes then scores the words of the host and of the path; it
+learns from the urls that the rules decide, with one added to the count of every word seen there and of one unseen word.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
 
 
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(word, n): how often each word of up to LONGEST letters a-z occurs in the text of all pages."""
+    """(word, n): how often each word of up to LONGEST letters occurs in the text of all pages."""
     text = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    return pages.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(rf"(?<![a-z])[a-z]{{1,{LONGEST}}}(?![a-z])"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(F.regexp_extract_all(ascii_lower(text), F.lit(rf"(?<!\p{{L}})\p{{L}}{{1,{LONGEST}}}(?!\p{{L}})"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, begins: list[int], sizes: list[int], counts: list[int], total: int) -> list[str]:
@@ -71,7 +72,7 @@ def viterbi(label: str, begins: list[int], sizes: list[int], counts: list[int],
 
 
 def segment_labels(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(label, words): every distinct ``label`` of letters a-z, split. Only the substrings of one label meet in one place."""
+    """(label, words): every distinct ``label`` of letters, split. Only the substrings of one label meet in one place."""
     total = words.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first()[0]
     size = F.length("label")
     spans = (labels.select("label", F.explode(F.sequence(F.lit(1), size)).alias("b"))
@@ -102,9 +103,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, page_id: str =
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, said = matching_rule(F.col("host"), F.col("path"), rules)
     rows = cut(rows.select("page_id", "host", "path", rule.alias("rule"), said.alias("_said")), "urls")
-    parts = F.filter(F.split("host", "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    parts = F.regexp_extract_all("host", F.lit(r"\p{L}+|\p{N}+"), F.lit(0))
     hosts = cut(rows.select("host").distinct().select("host", F.posexplode_outer(parts).alias("_at", "label")), "labels")
-    plain = cut(hosts.select("label").filter(F.col("label").rlike("^[a-z]+$")).distinct(), "plain-labels")
+    plain = cut(hosts.select("label").filter(F.col("label").rlike(r"^\p{L}")).distinct(), "plain-labels")
     split = cut(segment_labels(plain, cut(word_counts(pages, html), "words")), "segments").withColumnRenamed("label", "_label")
     named = (hosts.join(split, hosts["label"] == split["_label"], "left").select("host", "_at", F.coalesce("words", F.when(F.col("label").isNotNull(), F.array("label")), F.array().cast("array<string>")).alias("words"))
              .groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "words"))), lambda x: x["words"])).alias("host_words")))
@@ -116,7 +117,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, page_id: str =
     n = np.zeros((2, SLOTS + 1))
     n[:, counted["_slot"]] = counted[["a", "b"]].to_numpy().T
     prior, n = n[:, SLOTS].copy(), n[:, :SLOTS]
-    odds = np.log((n[0] + 1) / (n[0].sum() + SLOTS)) - np.log((n[1] + 1) / (n[1].sum() + SLOTS))
+    seen = int((n.sum(axis=0) > 0).sum()) + 1
+    odds = np.log((n[0] + 1) / (n[0].sum() + seen)) - np.log((n[1] + 1) / (n[1].sum() + seen))
     sent = pages.sparkSession.sparkContext.broadcast((float(np.log((prior[0] + 1) / (prior[1] + 1))), odds))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
