@@ -20,7 +20,7 @@ BOILERPLATE = [
     r"key authority:[^\n]*",
     r"based on your question[^.]*\.",
     r"here is what the relevant indian law provides[^.]*\.",
-    r"the most applicable provisions in the [a-z]+ corpus are:?",
+    r"the most applicable provisions in the [a-z]+ corpus are:?",  # whatever one word names the corpus
     r"primary provisions? matching your query:?",
     r"i could not find any relevant passages[^.]*\.",
 ]
@@ -120,7 +120,7 @@ def redact_secrets(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Numbered, roman, keyword, statute-unit or all-capital heading lines of up to 120 characters."""
-    s = F.trim(line)
+    s = F.regexp_replace(line, r"^\s+|\s+$", "")
     roman = s.rlike(r"^(?=[MDCLXVI])M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\.\s+[A-Z]")
     unit = s.rlike(r"(?i)^(?:(?:section|article|clause|rule|order|regulation|provision)\s+|§\s*)\d+[A-Za-z]?")
     capitals = F.length(s).between(5, 80) & (s == F.upper(s)) & s.rlike("[A-Z]") & ~s.rlike("[.!?,;]")
@@ -131,7 +131,7 @@ def is_heading(line: Column) -> Column:
 def natural_number_key(text: Column) -> Column:
     """Sort key of provision numbers: those with digits first, by their digits as a number, then by the rest."""
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.struct((digits == "").cast("int").alias("no_digits"), F.coalesce(F.when(digits != "", digits.cast("long")), F.lit(0)).alias("number"), F.regexp_replace(text, "[0-9]", "").alias("rest"))
+    return F.struct((digits == "").cast("int").alias("no_digits"), F.coalesce(digits.try_cast("long"), F.lit(0)).alias("number"), F.regexp_replace(text, "[0-9]", "").alias("rest"))
 
 
 def metric_key(name: Column, tags: Column) -> Column:
@@ -150,3 +150,15 @@ def cosine_pair(a: Column, b: Column) -> Column:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     return F.when((F.size(x) > 0) & (F.size(x) == F.size(y)) & (norm > 0), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / norm)), 4)).otherwise(0.0)
+
+
+def as_utc(ts: Column) -> Column:
+    """ISO form of a timestamp without zone, which counts as UTC."""
+    return F.date_format(ts.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def split_metric_key(key: Column) -> tuple[Column, Column]:
+    """The name and the tags of a ``name.k=v`` key."""
+    parts = F.split(key, r"\\.(?=[^.=]+=)")
+    tags = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.instr(p, "=") + 1).alias("v")))
+    return parts[0], F.map_from_entries(tags)

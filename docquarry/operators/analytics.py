@@ -41,7 +41,11 @@ def overall_totals(events: DataFrame) -> DataFrame:
 
 def latency_summary(samples: DataFrame, keys: list[str], value: str = "value", order: str = "created_at", ident: str = "id", last: int = 10_000, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Count, mean, quantiles (the element at ``min(n - 1, int(q * n))`` in order) and maximum of the last ``last`` samples of each key."""
-    recent = samples.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(ident)))).filter(F.col("_r") <= last)
+    newest = [F.desc(order), F.desc(ident)]
+    # A key may hold a third of all samples: its newest are found in parts first, of which only few rows go on.
+    parts = samples.withColumn("_part", F.pmod(F.xxhash64(ident), F.lit(64)))
+    parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*newest))).filter(F.col("_r") <= last)
+    recent = parts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).filter(F.col("_r") <= last)
     w = Window.partitionBy(*keys)
     ranked = recent.withColumn("_i", F.row_number().over(w.orderBy(value, ident)) - 1).withColumn("_n", F.count("*").over(w))
     pick = [F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))), F.round(value, 3))).alias(f"p{int(q * 100)}") for q in quantiles]
@@ -76,7 +80,11 @@ def keyset_page(rows: DataFrame, limit: int, cursor: int | None = None, ident: s
     return page.select("*", n.alias("_n"), more.alias("_more")).filter(F.col("_n") <= limit).withColumn("next_cursor", F.when(F.col("_more"), F.min(ident).over(Window.partitionBy()))).drop("_n", "_more")
 
 
-def recent_turns(turns: DataFrame, per_session: int = 6) -> DataFrame:
+def recent_turns(turns: DataFrame, per_session: int = 6, sessions: int | None = None) -> DataFrame:
+    """The last turns of each session; with ``sessions`` only those of the sessions touched last (by turn, then id)."""
+    if sessions is not None:
+        touched = turns.groupBy("session_id").agg(F.max("turn").alias("_last")).orderBy(F.desc("_last"), F.desc("session_id")).limit(sessions)
+        turns = turns.join(touched.select("session_id"), "session_id", "left_semi")
     turn = Window.partitionBy("session_id").orderBy(F.desc("turn"))
     return turns.withColumn("age", F.row_number().over(turn)).filter(F.col("age") <= per_session)
 
@@ -85,3 +93,50 @@ def last_subject(turns: DataFrame, window: int = 6) -> DataFrame:
     """Adds the latest non-empty subject among the ``window`` turns before."""
     frame = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-window, -1)
     return turns.withColumn("last_subject", F.last(F.when(F.col("subject") != "", F.col("subject")), ignorenulls=True).over(frame))
+
+
+def memory_occupancy(turns: DataFrame, per_session: int = 6, sessions: int = 500) -> DataFrame:
+    """One row: sessions and turns that a memory of that size retains."""
+    return recent_turns(turns, per_session, sessions).agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("turns_total"))
+
+
+def distribution(events: DataFrame, column: str) -> DataFrame:
+    """(column, n): how many events have each value."""
+    return events.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def counter_totals(increments: DataFrame, key: Column, by: Column) -> DataFrame:
+    """(metric, value): the increments of each key summed."""
+    return increments.groupBy(key.alias("metric")).agg(F.sum(by).alias("value"))
+
+
+def counters_by_prefix(counters: DataFrame, prefix: str) -> DataFrame:
+    return counters.filter(F.col("metric").startswith(prefix)).orderBy(F.desc("value"), "metric")
+
+
+def recent_jobs(jobs: DataFrame, limit: int = 50) -> DataFrame:
+    return jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def job_status_summary(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """(status, n, in_flight, seconds): jobs by status, whether they are still under way, and how long they have run; not started counts 0."""
+    ran = F.unix_timestamp(F.coalesce("completed_at", as_of).cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))
+    return jobs.groupBy("status").agg(F.count("*").alias("n"), F.max(F.col("status").isin("queued", "running")).alias("in_flight"), F.coalesce(F.sum(ran), F.lit(0)).alias("seconds"))
+
+
+def retention_sweep(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(swept, removed): for each name the rows of its first table that its second lacks in number; -1 where counting fails."""
+    spark = next(iter(tables.values()))[0].sparkSession
+
+    def removed(before: DataFrame, after: DataFrame) -> int:
+        try:
+            return before.count() - after.count()
+        except Exception:  # one table's failure doesn't stop the sweep of the others
+            return -1
+
+    return spark.createDataFrame([(name, removed(*both)) for name, both in tables.items()], "swept string, removed long")
+
+
+def ingest_by_ext(files: DataFrame, name: str) -> DataFrame:
+    """(ext, n): files by the extension of their name, lower-cased; none is the empty one."""
+    return files.groupBy(F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)(?:[?#].*)?$", 1).alias("ext")).agg(F.count("*").alias("n"))

@@ -26,8 +26,7 @@ def chunk_strategy(docs: DataFrame) -> DataFrame:
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, text): the parts between blank lines, stripped, with their places in the text."""
-    marked = F.regexp_replace("text", r"(\n{2,})", "$1\u0001")
-    parts = docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("_i", "_raw"))
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=\n\n)(?=[^\n])")).alias("_i", "_raw"))
     before = F.coalesce(F.sum(F.length("_raw")).over(Window.partitionBy("doc_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     text = F.regexp_replace("_raw", r"^\s+|\s+$", "")
     lead = F.length("_raw") - F.length(F.regexp_replace("_raw", r"^\s+", ""))
@@ -57,15 +56,16 @@ def supersede_source(chunks: DataFrame, source: str) -> DataFrame:
 
 
 def upsert_chunks(table: DataFrame, batch: DataFrame) -> DataFrame:
-    """``table`` with the rows of ``batch`` in place of those of equal chunk_id; of repeated ids in the batch one stays."""
-    new = batch.dropDuplicates(["chunk_id"])
+    """``table`` with the rows of ``batch`` in place of those of equal chunk_id; of repeated ids in the batch the last stays, in order of all their columns."""
+    rest = [c for c in batch.columns if c != "chunk_id"]
+    new = batch.groupBy("chunk_id").agg(F.max(F.struct(*rest)).alias("_x")).select(*(F.col(f"_x.{c}").alias(c) if c != "chunk_id" else F.col(c) for c in batch.columns)) if rest else batch.distinct()
     return table.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
 
 
 def ingest_versioned(chunks: DataFrame, batch: DataFrame, ingested_at: Column) -> DataFrame:
     """One version step for a batch (source, text): blank or unchanged texts do nothing; else the old chunks are superseded and a row of version + 1 is added."""
     now = latest_version(chunks)
-    incoming = batch.filter(F.trim("text") != "").withColumn("version_id", version_hash(F.col("text"))).join(now.withColumnRenamed("version", "_old"), "source", "left")
+    incoming = batch.filter(F.col("text").rlike(r"\S")).withColumn("version_id", version_hash(F.col("text"))).join(now.withColumnRenamed("version", "_old"), "source", "left")
     changed = incoming.filter(F.col("active_version_id").isNull() | (F.col("active_version_id") != F.col("version_id")))
     marks = changed.select("source", F.lit(True).alias("_new")).distinct()
     old = chunks.join(marks, "source", "left").withColumn("superseded", F.coalesce("_new", F.col("superseded"))).select(*chunks.columns)
@@ -77,3 +77,28 @@ def corpus_parity(registry: DataFrame, index: DataFrame, key: str = "act_key") -
     """(key, status): supported and indexed, missing from the index, or orphan in it."""
     r, i = (d.select(key).filter(F.col(key) != "").distinct().withColumn(n, F.lit(True)) for d, n in ((registry, "_r"), (index, "_i")))
     return r.join(i, key, "full").select(key, F.when(F.col("_i").isNull(), "missing").when(F.col("_r").isNull(), "orphan").otherwise("indexed").alias("status"))
+
+
+def delete_source(chunks: DataFrame, source: str) -> DataFrame:
+    return chunks.filter(~F.col("source").eqNullSafe(F.lit(source)))
+
+
+def source_detail(chunks: DataFrame, source: str) -> DataFrame:
+    """The versions of one source, each with the source's totals."""
+    own = chunks.filter(F.col("source") == source)
+    return versions_for(own).join(source_summary(own).select("source", "chunks_total", "chunks_active"), "source")
+
+
+def distinct_act_keys(chunks: DataFrame, key: str = "act_key") -> DataFrame:
+    return chunks.select(key).filter(F.col(key) != "").distinct()
+
+
+def collection_stats(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
+    return chunks.agg(F.count("*").alias("count"), F.max(F.size(vector)).alias("dimension"))
+
+
+def key_differences(registry: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(key, difference): keys only of the registry, only of the index, or of both, by set operations."""
+    r, i = registry.select(key).distinct(), index.select(key).distinct()
+    mark = lambda d, n: d.withColumn("difference", F.lit(n))
+    return mark(r.exceptAll(i), "missing").unionAll(mark(i.exceptAll(r), "orphan")).unionAll(mark(r.intersect(i), "both"))

@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import bench_tokens, eval_keywords, eval_tokens, normalize_for_eval
+from docquarry.functions.text import bench_tokens, cosine_pair, eval_keywords, eval_tokens, normalize_for_eval
 
 FLAT = 0.005
 
 
-def multiset_overlap(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, same): the size of the multiset intersection of two token arrays, by counting each token of each row; rows that share none are left out. ``key`` is unique."""
-    side = lambda c, n: rows.select(key, F.explode(c).alias("_w"), F.lit(n).alias("_s"))
-    counts = side(a, 0).unionAll(side(b, 1)).groupBy(key, "_w").agg(F.count_if(F.col("_s") == 0).alias("_x"), F.count_if(F.col("_s") == 1).alias("_y"))
-    return counts.filter("_x > 0 and _y > 0").groupBy(key).agg(F.sum(F.least("_x", "_y")).alias("same"))
+def multiset_overlap(a: Column, b: Column) -> Column:
+    """The size of the multiset intersection of two token arrays: both are sorted together and each run of equal tokens counted, in the row itself."""
+    side = lambda x, n: F.transform(x, lambda w: F.struct(w.alias("w"), F.lit(n).alias("s")))
+    begin = F.expr("named_struct('w', cast(null as string), 'x', 0, 'y', 0, 'same', 0)")
+
+    def step(held: Column, e: Column) -> Column:
+        new = ~held["w"].eqNullSafe(e["w"])
+        count = lambda c, n: F.when(new, 0).otherwise(held[c]) + F.when(e["s"] == n, 1).otherwise(0)
+        return F.struct(e["w"].alias("w"), count("x", 0).alias("x"), count("y", 1).alias("y"), (held["same"] + F.when(new, F.least(held["x"], held["y"])).otherwise(0)).alias("same"))
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), begin, step, lambda held: held["same"] + F.least(held["x"], held["y"]))
+
+
+def token_set_overlap(a: Column, b: Column) -> Column:
+    """Shared and all elements of two sets, as a struct."""
+    return F.struct(F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("all"))
 
 
 def token_f1(same: Column, a: Column, b: Column) -> Column:
     """F1 of two token arrays that share ``same``: 1 if both are empty, 0 if one is; 4 digits."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0) | same.isNull(), 0.0).otherwise(F.round(2.0 * same / (F.size(a) + F.size(b)), 4))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.round(2.0 * same / (F.size(a) + F.size(b)), 4))
 
 
 def keyword_overlap(a: Column, b: Column) -> Column:
@@ -27,12 +38,19 @@ def keyword_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), 4))
 
 
-def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated", expected: str = "expected") -> DataFrame:
-    """(key, f1, keyword_overlap) of normalised answers. Long answers cost in proportion to their length."""
-    g, e = normalize_for_eval(F.col(generated)), normalize_for_eval(F.col(expected))
-    t = pairs.select(key, eval_tokens(g).alias("_g"), eval_tokens(e).alias("_e"), eval_keywords(g).alias("_gk"), eval_keywords(e).alias("_ek"))
-    scored = t.join(multiset_overlap(t, key, "_g", "_e"), key, "left")
-    return scored.select(key, token_f1(F.col("same"), F.col("_g"), F.col("_e")).alias("f1"), keyword_overlap(F.col("_gk"), F.col("_ek")).alias("keyword_overlap"))
+def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated", expected: str = "expected", error: str | None = None, vectors: tuple[str, str] | None = None) -> DataFrame:
+    """(key, f1, keyword_overlap) of normalised answers, and cosine where ``vectors`` names the two sides' embeddings. Rows with an ``error`` score 0.
+
+    Texts are normalised once, stripped of noise once more (as the scores are defined), and compared within the row.
+    """
+    keep = [c for c in (error, *(vectors or ())) if c]
+    t = pairs.select(key, *keep, normalize_for_eval(F.col(generated)).alias("_g"), normalize_for_eval(F.col(expected)).alias("_e"))
+    t = t.select(key, *keep, *(words(F.col(c)).alias(f"{c}{n}") for c in ("_g", "_e") for words, n in ((eval_tokens, "t"), (eval_keywords, "k"))))
+    score = {"f1": token_f1(multiset_overlap(F.col("_gt"), F.col("_et")), F.col("_gt"), F.col("_et")), "keyword_overlap": keyword_overlap(F.col("_gk"), F.col("_ek"))}
+    if vectors:
+        score["cosine"] = cosine_pair(F.col(vectors[0]), F.col(vectors[1]))
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    return t.select(key, *([error] if error else []), *(F.when(failed, 0.0).otherwise(x).alias(n) for n, x in score.items()))
 
 
 def retrieval_overlap(retrieved: Column, expected: Column) -> Column:
@@ -55,3 +73,25 @@ def compare_runs(a: DataFrame, b: DataFrame, metric: str = "f1") -> DataFrame:
     delta = F.round(F.col("score_b") - F.col("score_a"), 4)
     j = x.join(y, "question", "full").withColumn("delta", delta)
     return j.withColumn("verdict", F.when(F.col("delta").isNull(), "missing").when(F.abs("delta") < FLAT, "flat").when(F.col("delta") > 0, "improved").otherwise("regressed"))
+
+
+def question_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The trimmed questions of either run, once each."""
+    return a.select(F.trim("question").alias("question")).unionAll(b.select(F.trim("question").alias("question"))).distinct()
+
+
+def source_name_match(source: Column, expected: Column) -> Column:
+    """Whether a section or article that ``expected`` cites stands in ``source`` as one."""
+    cited = F.regexp_extract_all(F.lower(F.coalesce(expected, F.lit(""))), F.lit(r"(?:section|article|art\.)\s+(\d{1,4}[a-z]?)"), F.lit(1))
+    named = F.transform(F.regexp_extract_all(F.lower(F.coalesce(source, F.lit(""))), F.lit(r"(?:section|article)\s+(\d{1,4}[a-z]?)\b"), F.lit(1)), lambda x: x)
+    return F.arrays_overlap(cited, named)
+
+
+def bench_summary(rows: DataFrame) -> DataFrame:
+    """One row of means of (baseline_overlap, new_overlap, baseline_match, new_match) and what changed; 4 digits."""
+    mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0))
+    pairs = {"overlap": ("baseline_overlap", "new_overlap"), "match": ("baseline_match", "new_match")}
+    out = [F.count("*").alias("n_questions")]
+    for name, (old, new) in pairs.items():
+        out += [F.round(mean(old), 4).alias(f"baseline_{name}"), F.round(mean(new), 4).alias(f"new_{name}"), F.round(mean(new) - mean(old), 4).alias(f"delta_{name}")]
+    return rows.agg(*out)

@@ -2,53 +2,78 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.scratch import written
 from docquarry.operators.lexical import top_k
 
 RRF_K = 60
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
 def _written(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared scratch folder (a fresh local one only where the session names none) and read back."""
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}").rstrip("/")
-    path = f"{folder}/docquarry-vector-hits-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "vector-hits")
+
+
+def _unit(rows: pa.Array) -> np.ndarray:
+    """The vectors as rows of length 1; zero vectors stay zero."""
+    x = np.array(rows.to_pylist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def vector_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, chunk_id, score): each task's best ``k`` vectors for every query. The queries, at most some thousand, go to every task as one matrix."""
+    rows = queries.select(query_id, vector).toArrow()
+    names, matrix = rows.column(0).combine_chunks(), _unit(rows.column(1))
+    kinds = queries.schema[query_id].dataType.simpleString(), vectors.schema[chunk_id].dataType.simpleString()
+    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = sent.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(names)
+        kind = None
+        for batch in batches if len(names) else ():
+            kind = batch.column(0).type
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            scores = matrix @ _unit(batch.column(1)).T
+            for q in range(len(names)):
+                s, c = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], ids.astype(object)))
+                if len(s) > k:  # all that may tie with the k-th come into the exact order
+                    near = np.flatnonzero(np.round(s, 6) >= np.round(np.partition(s, len(s) - k)[len(s) - k], 6))
+                    order = near[np.lexsort((c[near], -np.round(s[near], 6)))[:k]]
+                    s, c = s[order], c[order]
+                best[q] = s, c
+        for q, (s, c) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names[q : q + 1]] * len(s)), pa.array(c.tolist(), kind), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    return vectors.filter(F.col(vector).isNotNull()).select(chunk_id, vector).mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block: int = 1000, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, chunk_id, score, rank): cosine of every query with every vector, the best ``k`` of each query.
+    """(query_id, chunk_id, score, rank): cosine of every query with every vector, the best ``k`` of each query. A zero vector has cosine 0 to all; null ones are left out.
 
     Queries are dealt by a hash of their id into blocks of about ``block``. Vectors are scanned once for each block, which
-    alone is sent to all tasks then, and never shuffled; only each task's best ``k`` of a query reach the shuffle (a window
-    group limit). With several blocks, each one's hits are written to the shared folder before the next one is sent.
+    alone is sent to all tasks then, and never shuffled; only each task's best ``k`` of a query reach the shuffle. With
+    several blocks, each one's hits are written to the shared folder before the next one is sent.
     """
-    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(_dot(v.cast("array<double>"), v.cast("array<double>"))))
-    q = queries.select(F.col(query_id).alias("query_id"), unit(F.col(vector)).alias("_q"))
-    v = vectors.select(F.col(chunk_id).alias("chunk_id"), unit(F.col(vector)).alias("_v"))
+    queries = queries.filter(F.col(vector).isNotNull())
 
     def search(some: DataFrame) -> DataFrame:
-        sent = some.agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-        pairs = v.join(F.broadcast(sent), F.lit(True)).select("chunk_id", "_v", F.explode("_qs").alias("_x"))
-        hits = pairs.select(F.col("_x.query_id").alias("query_id"), "chunk_id", F.round(_dot(F.col("_v"), F.col("_x._q")), 6).alias("score"))
-        return top_k(hits, k, ["query_id"])
+        hits = vector_join(some, vectors, k, query_id=query_id, chunk_id=chunk_id, vector=vector)
+        return top_k(hits.withColumn("score", F.round("score", 6)), k, ["query_id"])
 
     blocks = -(-queries.count() // block)
     if blocks <= 1:
-        return search(q)
-    dealt = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = [_written(search(q.filter(dealt == b))) for b in range(blocks)]
+        return search(queries)
+    dealt = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    found = [_written(search(queries.filter(dealt == b))) for b in range(blocks)]
     return reduce(DataFrame.unionAll, found)
 
 

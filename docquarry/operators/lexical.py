@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions.scratch import written
 from docquarry.functions.text import tokenize_lexical
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -22,14 +23,17 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text")
             .groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
 
 
+def _weights(p: DataFrame, n_chunks: int) -> DataFrame:
+    """(term, df, idf, n_chunks, avgdl) of postings: Okapi weights, negative ones raised to a quarter of the mean weight."""
+    df = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_tf"))
+    raw = df.withColumn("_idf", F.log(F.lit(n_chunks) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean, total = raw.agg(F.avg("_idf"), F.sum("_tf")).first()
+    return raw.select("term", "df", F.when(F.col("_idf") < 0, F.lit(FLOOR * mean if mean is not None else 0.0)).otherwise(F.col("_idf")).alias("idf"), F.lit(n_chunks).alias("n_chunks"), F.lit((total or 0) / max(n_chunks, 1)).alias("avgdl"))
+
+
 def bm25_stats(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, df, idf) with n_chunks and avgdl: Okapi weights, negative ones raised to a quarter of the mean weight."""
-    p = postings(chunks, chunk_id, text)
-    lengths = chunks.agg(F.count("*").alias("n_chunks"), F.avg(F.size(tokenize_lexical(F.col(text)))).alias("avgdl"))
-    df = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(lengths))  # one row
-    raw = df.withColumn("_idf", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("_idf").alias("_mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf")).alias("idf"), "n_chunks", "avgdl")
+    """(term, df, idf) with n_chunks and avgdl. The texts are tokenised once."""
+    return _weights(written(postings(chunks, chunk_id, text), "postings"), chunks.count())
 
 
 def top_k(hits: DataFrame, k: int, keys: list[str], score: str = "score", ident: str = "chunk_id") -> DataFrame:
@@ -38,11 +42,19 @@ def top_k(hits: DataFrame, k: int, keys: list[str], score: str = "score", ident:
     return hits.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, *, query_id: str = "query_id", query: str = "query", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best chunks of every query with a score above 0. A term counts as often as the query has it."""
-    asked = (queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize_lexical(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    weights = bm25_stats(chunks, chunk_id, text)
-    scored = asked.join(weights, "term").join(postings(chunks, chunk_id, text), "term")
+def bm25_join(queries: DataFrame, chunks: DataFrame, *, query_id: str = "query_id", query: str = "query", chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(query_id, chunk_id, score): every query with every chunk that shares a term with it. A term counts as often as the query has it.
+
+    Postings are written once; of them only those of asked terms are joined and shuffled.
+    """
+    asked = written(queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize_lexical(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    p = written(postings(chunks, chunk_id, text), "postings")
+    weights = _weights(p, chunks.count())
+    scored = asked.join(weights.join(asked.select("term").distinct(), "term", "left_semi"), "term").join(p.join(asked.select("term").distinct(), "term", "left_semi"), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return top_k(hits, k, ["query_id"])
+    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int = 10, **columns: str) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best chunks of every query with a score above 0 (columns as in :func:`bm25_join`)."""
+    return top_k(bm25_join(queries, chunks, **columns).filter("score > 0"), k, ["query_id"])

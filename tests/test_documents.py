@@ -81,3 +81,24 @@ def test_vector_search_sends_one_block_at_a_time(spark, monkeypatch):
     held = [p.select("query_id").distinct().count() for p in parts]
     assert len(held) == 3 and sum(held) == 30 and max(held) < 30
     assert fusion.vector_search(e.limit(0), e, query_id="vec_id", chunk_id="vec_id").count() == 0
+
+
+def test_zero_vectors_score_zero(spark):
+    e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0]), (4, None)], "vec_id long, embedding array<double>")
+    out = {(r.query_id, r.chunk_id): r.score for r in fusion.vector_search(e, e, 3, query_id="vec_id", chunk_id="vec_id").collect()}
+    assert len(out) == 9 and out[1, 1] == out[2, 1] == 0 and out[2, 2] == 1 and abs(out[2, 3] - 0.707107) < 1e-9
+
+
+def test_one_id_of_a_batch_stays(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, v int")
+    out = corpus.upsert_chunks(table, spark.createDataFrame([("b", 5), ("b", 7), ("b", 6), ("c", None)], "chunk_id string, v int")).collect()
+    assert sorted(map(tuple, out)) == [("a", 1), ("b", 7), ("c", None)]
+
+
+def test_white_space_and_marks(spark):
+    assert spark.createDataFrame([("\tSection 25F of it",)], "t string").select(tx.is_heading(F.col("t"))).first()[0]
+    text = "a\u0001b\n\n c\n\n\nd"
+    rows = corpus.split_paragraphs(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert [(r.start, r.end, r.text) for r in rows] == [(0, 3, "a\u0001b"), (6, 7, "c"), (10, 11, "d")] and all(text[r.start : r.end] == r.text for r in rows)
+    assert tuple(_one(spark, tx.natural_number_key, "9" * 25 + "a")) == (0, 0, "a")
+    assert _one(spark, lambda c: F.to_json(F.struct(*tx.split_metric_key(c))), "query.route=a.user=3") == '{"col1":"query","col2":{"route":"a","user":"3"}}'
