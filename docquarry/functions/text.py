@@ -159,6 +159,11 @@ def as_utc(ts: Column) -> Column:
 
 def split_metric_key(key: Column) -> tuple[Column, Column]:
     """The name and the tags of a ``name.k=v`` key."""
-    parts = F.split(key, r"\\.(?=[^.=]+=)")
+    parts = F.split(key, r"\.(?=[^.=]+=)")
     tags = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substr(p, F.instr(p, "=") + 1).alias("v")))
     return parts[0], F.map_from_entries(tags)
+
+
+def decode_json(text: Column, schema: str) -> Column:
+    """The fields of a JSON text; those of a malformed one are null."""
+    return F.from_json(text, schema, {"mode": "PERMISSIVE"})

@@ -1 +1,3 @@
-"""plans of the document engine."""
+"""Registered queries; importing the package registers all of them."""
+
+from docquarry.plans import queries, records  # noqa: F401
