@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,9 @@ def key_differences(registry: DataFrame, index: DataFrame, key: str) -> DataFram
     r, i = registry.select(key).distinct(), index.select(key).distinct()
     mark = lambda d, n: d.withColumn("difference", F.lit(n))
     return mark(r.exceptAll(i), "missing").unionAll(mark(i.exceptAll(r), "orphan")).unionAll(mark(r.intersect(i), "both"))
+
+
+def ingest_corpus(provisions: DataFrame, held: DataFrame, chunk: Callable[[DataFrame], DataFrame], *, force: bool = False) -> DataFrame:
+    """``chunk`` of all provisions (act_key, source, text) where ``held`` (act_key) lacks one of their acts or ``force`` says so; else no rows."""
+    stale = force or not provisions.select("act_key").distinct().join(held.select("act_key").distinct(), "act_key", "left_anti").isEmpty()
+    return chunk(provisions if stale else provisions.limit(0))

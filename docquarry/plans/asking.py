@@ -125,9 +125,13 @@ _TALK = f"w AS (SELECT conv_id AS session_id, turn, ({_quoted(PHRASES)})[(conv_i
 _FOLLOWS = f"NOT regexp_matches(query, '{u.SELF_CONTAINED}') AND NOT ({' OR '.join(_FIRES.values())}) AND len(list_filter(string_split_regex(query, '\\s+'), lambda w: w <> '')) <= 7 AND regexp_matches(query, '{_CUE}')"
 
 
-def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_talk(conversations: DataFrame) -> DataFrame:
     phrase = F.get(F.array(*map(F.lit, PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(PHRASES)).cast("int"))
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", phrase.alias("query"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Section "), F.col("turn"))).otherwise("").alias("subject"))
+    return conversations.select(F.col("conv_id").alias("session_id"), "turn", phrase.alias("query"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Section "), F.col("turn"))).otherwise("").alias("subject"))
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_talk(table(spark, sf_dir, "conversations"))
 
 
 @registered(f"WITH {_TALK}, l AS (SELECT *, last_value(CASE WHEN subject <> '' THEN subject END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS before FROM w) SELECT session_id, turn, CASE WHEN {_FOLLOWS} AND before IS NOT NULL THEN query || ' regarding ' || before ELSE query END AS effective FROM l")

@@ -1 +1 @@
-"""sources of the document engine."""
+"""Files and tables into texts: see :mod:`docquarry.sources.tables`."""

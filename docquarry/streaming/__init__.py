@@ -1 +1 @@
-"""streaming of the document engine."""
+"""Structured Streaming jobs: see :mod:`docquarry.streaming.events`."""
