@@ -54,9 +54,9 @@ def build(ids: np.ndarray, counts: np.ndarray, names: pa.Array | None = None, le
             body.append(zstd.compress(packed[f : f + FRAME].tobytes() + before[f // BLOCK : (f + FRAME) // BLOCK].tobytes()))
             at += len(body[-1])
             ends.append(at)
-        low = now[~one]
+        low = now[np.flatnonzero(~one)]  # places are faster than masks here
         zeros.append(len(low))
-        now = np.concatenate((low, now[one]))
+        now = np.concatenate((low, now[np.flatnonzero(one)]))
     sink = pa.BufferOutputStream()
     names = pa.nulls(len(counts)) if names is None else names
     with pa.ipc.new_stream(sink, pa.schema([("doc_id", names.type)])) as out:
@@ -152,8 +152,8 @@ class WaveletMatrix:
             one = np.unpackbits(np.concatenate(frames), count=self.size).astype(bool) if frames else np.zeros(0, bool)
             z = int(self.zeros[k])
             was = np.empty_like(now)
-            was[~one] = now[:z]
-            was[one] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
+            was[np.flatnonzero(~one)] = now[:z]
+            was[np.flatnonzero(one)] = now[z:] | now.dtype.type(1 << (self.planes - 1 - k))
             now = was
         return now
 
@@ -169,6 +169,7 @@ class _Encoder:
     """
 
     ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    ODD_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
     MARKS = ".,;:!?"
     LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
@@ -184,11 +185,11 @@ class _Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.space = chr(self.alphabet[32])
-        self.known = _Remembered(" ", self._piece)
-        self.bare = _Remembered("", self._piece)
+        self.known = _Remembered(" ", self._piece, lambda piece: self.tokenize(self.space + piece))
+        self.bare = _Remembered("", self._piece, self.tokenize)
 
     def odd(self, text: str) -> bool:
-        return any(c in text for c in self.added) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or bool(self.ODD.search(text))
+        return any(c in text for c in self.added) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or (any(c in text for c in self.ODD_ASCII) if text.isascii() else bool(self.ODD.search(text)))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,14 +236,15 @@ def _ids(ids: list[int]) -> bytes:
 class _Remembered(dict):
     """What ``make`` gave for each piece: the newest ``_KNOWN`` pieces and, once these are full, those before them."""
 
-    def __init__(self, space: str, make: Callable[[str, str, _Remembered], bytes]):
+    def __init__(self, space: str, make: Callable[[str, str, _Remembered], bytes], of_word: Callable[[str], list]):
         super().__init__()
-        self.space, self.make, self.older = space, make, {}
+        self.space, self.make, self.of_word, self.older = space, make, of_word, {}
 
     def __missing__(self, piece: str) -> bytes:
         value = self.older.get(piece)
         if value is None:
-            value = self.make(self.space, piece, self)
+            # A word of ASCII letters, as most are, is one part of the pattern.
+            value = _ids([t.id for t in self.of_word(piece)]) if piece.isascii() and piece.isalpha() else self.make(self.space, piece, self)
         if len(self) >= _KNOWN:
             self.older = dict(self)
             self.clear()
