@@ -136,7 +136,8 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     Two sets of a Jaccard similarity of ``threshold`` or more share one of their first ``n - ceil(threshold * n) + 1``
     shingles in any common order; in the order of rarity among ``rest``, a passage in many texts makes no pairs of them.
     Neither does a pair of that similarity differ in more than ``(1 - threshold) / (1 + threshold)`` of both sets' elements
-    together, and no fewer than the bits in which bitmaps of the sets differ. No pair of that similarity is lost.
+    together, and no fewer than the bits in which bitmaps of the sets differ. A pair comes from the first of the shingles
+    that it shares alone. No pair of that similarity is lost.
     """
     keyed = rest.groupBy("content").agg(F.first("root").alias("root"), F.collect_set("key").alias("keys"))
     held = keyed.join(sets, "content").select("content", "root", "keys", F.array_distinct("shingles").alias("shingles"))
@@ -150,14 +151,15 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     shared = each.join(often, "s").groupBy("content").agg(order.alias("order"))
     reach = n - F.ceil(threshold * n - 1e-9) + 1 - (n - F.size("order"))
     first = (held.join(shared, "content").select("content", "root", "keys", "maps", n.alias("n"), F.slice("order", F.lit(1), F.greatest(F.lit(0), reach).cast("int")).alias("order"))
-             .select("content", "root", "keys", "maps", "n", F.explode("order.s").alias("s")))
+             .select("content", "root", "keys", "maps", "n", F.col("order.s").alias("rare"), F.explode("order.s").alias("s")))
     first = cut(first, "far-prefixes")
-    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "keys", "maps", "n"))) for k in "ab")
+    x, y = (first.select("s", *(F.col(c).alias(f"{c}_{k}") for c in ("content", "root", "keys", "maps", "n", "rare"))) for k in "ab")
     near = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
     apart = sum((F.bit_count(F.col("maps_a")[m].bitwiseXOR(F.col("maps_b")[m])) for m in range(MAPS)), F.lit(0))
     alike = apart <= (1 - threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & near & alike & F.arrays_overlap("keys_a", "keys_b"))
-    return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b")).distinct()
+    pairs = x.join(y, (x["s"] == y["s"]) & (F.col("root_a") < F.col("root_b")) & near & alike & F.arrays_overlap("keys_a", "keys_b")
+                   & (F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)) == x["s"]))
+    return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b"))
 
 
 def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, least: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
