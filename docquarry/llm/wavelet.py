@@ -45,7 +45,7 @@ def build(ids: np.ndarray, counts: np.ndarray, names: pa.Array | None = None, le
     zstd = zstandard.ZstdCompressor(level=level)
     zeros, ends, body, at = [], [], [], 0
     for k in range(planes - 1, -1, -1):
-        one = (now >> k & 1).astype(bool)
+        one = (now & now.dtype.type(1 << k)) != 0
         packed = np.packbits(one)
         packed = np.concatenate((packed, np.zeros(-len(packed) % BLOCK, np.uint8)))
         ones = np.bitwise_count(packed.reshape(-1, BLOCK)).sum(axis=1, dtype=np.uint64)
@@ -226,9 +226,12 @@ class _Encoder:
         return out
 
 
+_BIG = sys.byteorder == "big"
+
+
 def _ids(ids: list[int]) -> bytes:
     a = array("H", ids)
-    if sys.byteorder == "big":
+    if _BIG:
         a.byteswap()
     return a.tobytes()
 
