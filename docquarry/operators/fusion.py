@@ -20,17 +20,17 @@ def _written(df: DataFrame) -> DataFrame:
     return written(df, "vector-hits")
 
 
-def _unit(rows: pa.Array) -> np.ndarray:
-    """The vectors as rows of length 1; zero vectors stay zero."""
-    x = np.array(rows.to_pylist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
 def vector_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query_id, chunk_id, score): each task's best ``k`` vectors for every query. The queries, at most some thousand, go to every task as one matrix."""
+
+    def unit(rows: pa.Array) -> np.ndarray:
+        """The vectors as rows of length 1; zero vectors stay zero."""
+        x = np.array(rows.to_pylist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
     rows = queries.select(query_id, vector).toArrow()
-    names, matrix = rows.column(0).combine_chunks(), _unit(rows.column(1))
+    names, matrix = rows.column(0).combine_chunks(), unit(rows.column(1))
     kinds = queries.schema[query_id].dataType.simpleString(), vectors.schema[chunk_id].dataType.simpleString()
     sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
 
@@ -41,7 +41,7 @@ def vector_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str
         for batch in batches if len(names) else ():
             kind = batch.column(0).type
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = matrix @ _unit(batch.column(1)).T
+            scores = matrix @ unit(batch.column(1)).T
             for q in range(len(names)):
                 s, c = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], ids.astype(object)))
                 if len(s) > k:  # all that may tie with the k-th come into the exact order
