@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.scratch import shared_folder, written  # noqa: F401
@@ -125,3 +125,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+def ranked(df: DataFrame, *keys: str, rank: str = "_rank") -> DataFrame:
+    """``df`` with gapless numbers from 0 in the order of ``keys`` (nulls first): range partitions count their rows and each begins where those before it end, so no task holds more than its range.
+
+    ``df`` is computed twice (once for the ranges' sample); cut it before if it is costly.
+    """
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition
+    parts = cut(parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "ranked-parts")
+    return rows.withColumn("_part", part).join(parts, "_part").withColumn(rank, F.col("_base") + within).drop("_part", "_base", "_at")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import context_mixing, decontam, line_templates, mixing, paragraphs, quality, sharding, simhash, url_filter, wavelet
+from docquarry.llm import context_mixing, decontam, line_templates, manifest, mixing, packing, paragraphs, quality, sharding, simhash, url_filter, wavelet, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -62,8 +62,23 @@ def op10_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 3).alias("distance"))
 
 
+def op11_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = manifest.tampered(F.col("text"), F.col("doc_id"))
+    return manifest.check_copy(_table(spark, sf_dir, "documents"), {"text": changed}).select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_matched_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)[0].select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ring_sharding, op2_budget_mixing, op3_line_templates, op4_benchmark_containment, op5_context_mixing, op6_anchor_simhash, op7_wavelet_tokens, op8_paragraph_minhash, op9_url_words, op10_mcd_quality)}
+    op1_ring_sharding, op2_budget_mixing, op3_line_templates, op4_benchmark_containment, op5_context_mixing, op6_anchor_simhash, op7_wavelet_tokens, op8_paragraph_minhash, op9_url_words, op10_mcd_quality,
+    op11_interval_manifest, op12_chebyshev_whitening, op13_matched_packing)}
 
 _SPACES = r"[\x20\x09-\x0D]+"
 
@@ -95,4 +110,35 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
         m AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, item_shingles, shared FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles""",
+    "op11_interval_manifest": """
+        WITH RECURSIVE
+        v AS (SELECT *, CASE WHEN text IS NULL THEN NULL ELSE replace(text, chr(10), '') END AS flat FROM documents),
+        p AS (SELECT doc_id, source,
+                     coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+                     coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(flat) || ':' || flat, '-') AS changed FROM v),
+        d AS (SELECT doc_id, source, sha256(head || body) AS leaf, sha256(head || changed) AS flat_leaf FROM p),
+        s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d GROUP BY source),
+        l AS (SELECT d.doc_id, s.source, s.tree, d.leaf, d.flat_leaf, row_number() OVER (PARTITION BY s.tree ORDER BY d.doc_id NULLS FIRST, d.leaf) - 1 AS k FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        up AS (SELECT 0 AS level, tree, k, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l
+               UNION ALL
+               SELECT level + 1, tree, kk, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM (SELECT *, k // 3 AS kk FROM up WHERE n > 1) GROUP BY level, tree, kk),
+        roots AS (SELECT tree, h AS subroot FROM up WHERE n = 1),
+        over AS (SELECT 0 AS level, tree AS k, subroot AS h, count(*) OVER () AS n FROM roots
+                 UNION ALL
+                 SELECT level + 1, kk, sha256(string_agg(h, '' ORDER BY k)), (any_value(n) + 2) // 3 FROM (SELECT *, k // 3 AS kk FROM over WHERE n > 1) GROUP BY level, kk),
+        way AS (SELECT l.tree, l.k, up.level, coalesce(string_agg(up.h, '' ORDER BY up.k) FILTER (WHERE up.k < l.k // (3 ** up.level)::BIGINT), '') AS before,
+                       coalesce(string_agg(up.h, '' ORDER BY up.k) FILTER (WHERE up.k > l.k // (3 ** up.level)::BIGINT), '') AS behind
+                FROM l JOIN up ON l.tree = up.tree AND up.n > 1 AND up.k // 3 = l.k // (3 ** (up.level + 1))::BIGINT GROUP BY l.tree, l.k, up.level),
+        high AS (SELECT r.tree, 1000 + over.level AS level, coalesce(string_agg(over.h, '' ORDER BY over.k) FILTER (WHERE over.k < r.tree // (3 ** over.level)::BIGINT), '') AS before,
+                        coalesce(string_agg(over.h, '' ORDER BY over.k) FILTER (WHERE over.k > r.tree // (3 ** over.level)::BIGINT), '') AS behind
+                 FROM roots r JOIN over ON over.n > 1 AND over.k // 3 = r.tree // (3 ** (over.level + 1))::BIGINT GROUP BY r.tree, over.level),
+        steps AS (SELECT tree, k, level, before, behind FROM way UNION ALL SELECT l.tree, l.k, h.level, h.before, h.behind FROM l JOIN high h USING (tree)),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY tree, k ORDER BY level) AS i FROM steps),
+        proof AS (SELECT tree, k, sha256(string_agg(before || behind, '' ORDER BY i)) AS proof_sha256, max(i) AS last FROM nth GROUP BY tree, k),
+        fold AS (SELECT tree, k, 0::BIGINT AS i, CASE WHEN doc_id IS NOT NULL AND list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b:
+                      list_reduce(list_prepend(xor(c, b), [0::BIGINT for _ in range(8)]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 = 1 THEN flat_leaf ELSE leaf END AS h FROM l
+                 UNION ALL
+                 SELECT f.tree, f.k, n.i, sha256(n.before || f.h || n.behind) FROM fold f JOIN nth n ON f.tree = n.tree AND f.k = n.k AND n.i = f.i + 1)
+        SELECT l.doc_id, l.leaf, r.subroot, o.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
+        FROM l JOIN roots r USING (tree) JOIN (SELECT h FROM over WHERE n = 1) o ON true LEFT JOIN proof p USING (tree, k) JOIN fold f ON l.tree = f.tree AND l.k = f.k AND f.i = coalesce(p.last, 0)""",
 }
