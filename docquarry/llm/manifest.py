@@ -134,7 +134,7 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "source", "l
     named = groups.select(F.col("_group").alias("_g"), "_first", "tree")
     leaves = rows.join(named, F.col("_group").eqNullSafe(F.col("_g"))).withColumn("rank", F.col("_rank") - F.col("_first")).drop("_g", "_first", "_rank")
     trees = Trees(leaves, groups, stride)
-    tops = trees.roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"), F.col("root").alias("leaf"))
+    tops = cut(trees.roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("rank"), F.col("root").alias("leaf")), "subroots")
     whole = Trees(tops, tops.groupBy("tree").agg(F.count("*").alias("leaves")), stride)
     nothing = docs.sparkSession.range(1).select(F.col("id").alias("tree"), F.expr(_NO_PATH).alias("path"))
     down = whole.paths(nothing).select(F.col("rank").alias("tree"), F.col("leaf").alias("_subroot"), F.col("path").alias("_path"))
