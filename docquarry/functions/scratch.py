@@ -29,3 +29,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/docquarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as the session shuffles to. For work that is heavy for its bytes, as on texts: a number that is named keeps adaptive execution from joining partitions that look small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,14 +44,32 @@ def content_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(_extract(F.lower(text), "[a-z]+"), lambda t: (F.length(t) > 2) & ~t.isin(RERANK_STOP)))
 
 
+def _opening(pattern: str) -> str:
+    """The letters and spaces that any match of ``pattern`` begins with, in lower case."""
+    m = re.match("[a-z ]+", pattern)
+    return m[0][:-1] if pattern[m.end() : m.end() + 1] in ("?", "*") else m[0]
+
+
 def strip_answer_noise(text: Column) -> Column:
-    """Takes out citation marks, source notes, heading lines, boilerplate and long dashes."""
-    text = F.regexp_replace(text, r"\[\d{1,3}\]", " ")
-    text = F.regexp_replace(text, r"(?i)\(source:\s*[^)]+\)", " ")
-    text = F.regexp_replace(text, r"(?mi)^\*{0,2}(?:section|article|clause)\s+\d+[A-Za-z]?\s*[—\-:].*$", " ")
-    for phrase in BOILERPLATE:
-        text = F.regexp_replace(text, f"(?is){phrase}", " ")
-    return F.regexp_replace(text, "[–—‒]", " ")
+    """Takes out citation marks, source notes, heading lines, boilerplate and long dashes.
+
+    Most texts have none of it. Each pattern needs some plain characters; where a text lacks all of these, only dashes are left to do.
+    """
+
+    def stripped(t: Column) -> Column:
+        t = F.regexp_replace(t, r"\[\d{1,3}\]", " ")
+        t = F.regexp_replace(t, r"(?i)\(source:\s*[^)]+\)", " ")
+        t = F.regexp_replace(t, r"(?mi)^\*{0,2}(?:section|article|clause)\s+\d+[A-Za-z]?\s*[—\-:].*$", " ")
+        for phrase in BOILERPLATE:
+            t = F.regexp_replace(t, f"(?is){phrase}", " ")
+        return t
+
+    def once(t: Column) -> Column:
+        need = ["(source:", "section", "article", "clause", *map(_opening, BOILERPLATE)]
+        some = F.exists(F.array(F.lower(t)), lambda low: F.contains(low, F.lit("[")) | reduce(Column.__or__, (F.contains(low, F.lit(n)) for n in need)))
+        return F.regexp_replace(F.when(some, stripped(t)).otherwise(t), "[–—‒]", " ")
+
+    return F.transform(F.array(text), once)[0]
 
 
 def normalize_for_eval(text: Column) -> Column:
@@ -120,7 +141,7 @@ def redact_secrets(text: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Numbered, roman, keyword, statute-unit or all-capital heading lines of up to 120 characters."""
-    s = F.regexp_replace(line, r"^\s+|\s+$", "")
+    s = F.trim(line, F.lit(" \t\n\x0b\f\r"))
     roman = s.rlike(r"^(?=[MDCLXVI])M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\.\s+[A-Z]")
     unit = s.rlike(r"(?i)^(?:(?:section|article|clause|rule|order|regulation|provision)\s+|§\s*)\d+[A-Za-z]?")
     capitals = F.length(s).between(5, 80) & (s == F.upper(s)) & s.rlike("[A-Z]") & ~s.rlike("[.!?,;]")

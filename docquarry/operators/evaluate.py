@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions.text import bench_tokens, cosine_pair, eval_keywords, eval_tokens, normalize_for_eval
+from docquarry.functions.scratch import dealt
+from docquarry.functions.text import ARTICLES, EVAL_STOP, bench_tokens, cosine_pair, normalize_for_eval, stem_suffix, strip_answer_noise
 
 FLAT = 0.005
 
@@ -41,16 +42,27 @@ def keyword_overlap(a: Column, b: Column) -> Column:
 def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated", expected: str = "expected", error: str | None = None, vectors: tuple[str, str] | None = None) -> DataFrame:
     """(key, f1, keyword_overlap) of normalised answers, and cosine where ``vectors`` names the two sides' embeddings. Rows with an ``error`` score 0.
 
-    Texts are normalised once, stripped of noise once more (as the scores are defined), and compared within the row.
+    Texts are normalised once and stripped of noise once more (as the scores are defined). Pairs are dealt by their key, so
+    that the words of both sides, a row each from there on, are stemmed and counted by pair and word without a further shuffle.
     """
-    keep = [c for c in (error, *(vectors or ())) if c]
-    t = pairs.select(key, *keep, normalize_for_eval(F.col(generated)).alias("_g"), normalize_for_eval(F.col(expected)).alias("_e"))
-    t = t.select(key, *keep, *(words(F.col(c)).alias(f"{c}{n}") for c in ("_g", "_e") for words, n in ((eval_tokens, "t"), (eval_keywords, "k"))))
-    score = {"f1": token_f1(multiset_overlap(F.col("_gt"), F.col("_et")), F.col("_gt"), F.col("_et")), "keyword_overlap": keyword_overlap(F.col("_gk"), F.col("_ek"))}
+    p = pairs.select(F.col(key).alias("_key"), F.col(generated).alias("_g"), F.col(expected).alias("_e"), *([F.col(error).alias("_error")] if error else []),
+                     *([cosine_pair(F.col(vectors[0]), F.col(vectors[1])).alias("cosine")] if vectors else []))
+    p = dealt(p, "_key").withColumn("_row", F.monotonically_increasing_id())
+    held = [c for c in p.columns if c not in ("_g", "_e")]
+    sides = p.select(*held, F.posexplode(F.array("_g", "_e")).alias("_side", "_text"))
+    words = F.regexp_extract_all(F.lower(strip_answer_noise(normalize_for_eval(F.col("_text")))), F.lit("[a-z0-9]+"), F.lit(0))
+    each = sides.select(*held, "_side", F.explode_outer(words).alias("_w"))
+    counts, is_key = ~F.col("_w").isin(ARTICLES), (F.length("_w") >= 3) & ~F.col("_w").isin(EVAL_STOP)
+    each = each.select(*held, "_side", stem_suffix(F.col("_w")).alias("_stem"), counts.alias("_counts"), is_key.alias("_keyword"))
+    on = lambda flag, side: F.count_if(F.col(flag) & (F.col("_side") == side))
+    by_word = each.groupBy(*held, "_stem").agg(on("_counts", 0).alias("_x"), on("_counts", 1).alias("_y"), (on("_keyword", 0) > 0).alias("_kx"), (on("_keyword", 1) > 0).alias("_ky"))
+    total = by_word.groupBy(*held).agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"), F.sum(F.least("_x", "_y")).alias("_same"), F.count_if(F.col("_kx") & F.col("_ky")).alias("_shared"), F.count_if(F.col("_kx") | F.col("_ky")).alias("_all"))
+    f1 = F.when((F.col("_x") == 0) & (F.col("_y") == 0), 1.0).when((F.col("_x") == 0) | (F.col("_y") == 0), 0.0).otherwise(F.round(2.0 * F.col("_same") / (F.col("_x") + F.col("_y")), 4))
+    score = {"f1": f1, "keyword_overlap": F.when(F.col("_all") == 0, 1.0).otherwise(F.round(F.col("_shared") / F.col("_all"), 4))}
     if vectors:
-        score["cosine"] = cosine_pair(F.col(vectors[0]), F.col(vectors[1]))
-    failed = F.col(error).isNotNull() if error else F.lit(False)
-    return t.select(key, *([error] if error else []), *(F.when(failed, 0.0).otherwise(x).alias(n) for n, x in score.items()))
+        score["cosine"] = F.col("cosine")
+    failed = F.col("_error").isNotNull() if error else F.lit(False)
+    return total.select(F.col("_key").alias(key), *([F.col("_error").alias(error)] if error else []), *(F.when(failed, 0.0).otherwise(x).alias(n) for n, x in score.items()))
 
 
 def retrieval_overlap(retrieved: Column, expected: Column) -> Column:

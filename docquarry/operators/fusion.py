@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,66 +15,143 @@ from docquarry.functions.scratch import written
 from docquarry.operators.lexical import top_k
 
 RRF_K = 60
-
-
-def _written(df: DataFrame) -> DataFrame:
-    return written(df, "vector-hits")
-
-
-def vector_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, chunk_id, score): each task's best ``k`` vectors for every query. The queries, at most some thousand, go to every task as one matrix."""
-
-    def unit(rows: pa.Array) -> np.ndarray:
-        """The vectors as rows of length 1; zero vectors stay zero."""
-        x = np.array(rows.to_pylist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-    rows = queries.select(query_id, vector).toArrow()
-    names, matrix = rows.column(0).combine_chunks(), unit(rows.column(1))
-    kinds = queries.schema[query_id].dataType.simpleString(), vectors.schema[chunk_id].dataType.simpleString()
-    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+CELLS = 1 << 22  # scores that a task holds at once
+
+
+def _unit(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zero vectors stay zero."""
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    if not len(rows):
+        return np.zeros((0, 0))
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) % len(rows) or pc.count_distinct(pc.list_value_length(rows)).as_py() != 1:
+        raise ValueError("vectors must have one length")
+    x = flat.reshape(len(rows), -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+class _Best:
+    """The best ``k`` of every query so far: higher score first (6 digits), then the lesser id. Work goes by whole matrices."""
+
+    NONE = -(1 << 40)  # below any score in millionths
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, 0), self.NONE, np.int64)
+        self.exact = np.zeros((queries, 0))
+        self.ids = np.zeros((queries, 0), np.int64)  # places in ``names``
+        self.names: np.ndarray | None = None
+
+    @staticmethod
+    def _cut(score: np.ndarray, turn: np.ndarray, k: int) -> np.ndarray:
+        """Columns of each row's best ``k``, in order; ``turn`` ranks the ids."""
+        key = score * (int(turn.max(initial=0)) + 1) - turn
+        if k < key.shape[1]:
+            some = np.argpartition(-key, k - 1, axis=1)[:, :k]
+            return np.take_along_axis(some, np.argsort(-np.take_along_axis(key, some, axis=1), axis=1, kind="stable"), axis=1)
+        return np.argsort(-key, axis=1, kind="stable")
+
+    def add(self, exact: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray) -> None:
+        """Takes scores (query by candidate) and the candidates' ids; a candidate that isn't ``allowed`` doesn't count."""
+        score = np.rint(exact * 1e6).astype(np.int64)
+        if allowed is not None:
+            score[~allowed] = self.NONE
+        turn = np.empty(len(ids), np.int64)
+        turn[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        at = self._cut(score, np.broadcast_to(turn, score.shape), self.k)
+        score, exact = np.take_along_axis(score, at, axis=1), np.take_along_axis(exact, at, axis=1)
+        names = ids if self.names is None else np.concatenate((self.names, ids))
+        at = at + (0 if self.names is None else len(self.names))
+        score, exact, held = np.hstack((self.score, score)), np.hstack((self.exact, exact)), np.hstack((self.ids, at))
+        used, place = np.unique(held, return_inverse=True)
+        names, place = names[used], place.reshape(held.shape)
+        order = np.argsort(names, kind="stable")
+        turn = np.empty(len(names), np.int64)
+        turn[order] = np.arange(len(names))
+        best = self._cut(score, turn[place], self.k)
+        self.score, self.exact, self.ids = (np.take_along_axis(x, best, axis=1) for x in (score, exact, place))
+        self.names = names
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and scores of all that count."""
+        q, c = np.nonzero(self.score > self.NONE)
+        return q, (self.names[self.ids[q, c]] if self.names is not None else np.zeros(0, np.int64)), self.exact[q, c]
+
+
+def _search_task(sent: object, k: int, kinds: tuple[str, str], keyed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with its vectors (id, vector and, if ``keyed``, key): its best ``k`` for each of the queries sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = sent.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(names)
-        kind = None
-        for batch in batches if len(names) else ():
-            kind = batch.column(0).type
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = matrix @ unit(batch.column(1)).T
-            for q in range(len(names)):
-                s, c = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], ids.astype(object)))
-                if len(s) > k:  # all that may tie with the k-th come into the exact order
-                    near = np.flatnonzero(np.round(s, 6) >= np.round(np.partition(s, len(s) - k)[len(s) - k], 6))
-                    order = near[np.lexsort((c[near], -np.round(s[near], 6)))[:k]]
-                    s, c = s[order], c[order]
-                best[q] = s, c
-        for q, (s, c) in enumerate(best):
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([names[q : q + 1]] * len(s)), pa.array(c.tolist(), kind), pa.array(s)], names=["query_id", "chunk_id", "score"])
-
-    return vectors.filter(F.col(vector).isNotNull()).select(chunk_id, vector).mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
-
-
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block: int = 1000, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, chunk_id, score, rank): cosine of every query with every vector, the best ``k`` of each query. A zero vector has cosine 0 to all; null ones are left out.
-
-    Queries are dealt by a hash of their id into blocks of about ``block``. Vectors are scanned once for each block, which
-    alone is sent to all tasks then, and never shuffled; only each task's best ``k`` of a query reach the shuffle. With
-    several blocks, each one's hits are written to the shared folder before the next one is sent.
+        names, matrix, wanted = sent.value  # type: ignore[attr-defined]
+        best, kind = _Best(len(names), k), None
+        rows = max(1, CELLS // max(1, len(names)))
+        for whole in batches if len(names) else ():
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                kind = batch.column(0).type
+                allowed = None
+                if keyed:
+                    coded = batch.column(2).dictionary_encode()
+                    fits = np.array([[not w or key in w for key in coded.dictionary.to_pylist()] + [not w] for w in wanted])
+                    allowed = fits[:, coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+                    if not allowed.any():
+                        continue
+                best.add(matrix @ _unit(batch.column(1)).T, allowed, batch.column(0).to_numpy(zero_copy_only=False))
+        q, ids, score = best.rows()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids, kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def vector_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", keys: tuple[str, str] | None = None, most: int = 1 << 25) -> DataFrame:
+    """(query_id, chunk_id, score): each task's best ``k`` vectors for every query; the queries go to every task as one matrix.
+
+    ``keys`` names a queries' column of arrays and a vectors' column of keys: a query meets the vectors of its keys alone, all
+    if it has none. Where every query has keys, the scan itself is cut to them. The matrix may have ``most`` bytes;
+    more queries than that are an error here and go by blocks in :func:`vector_search`.
+    """
+    columns = [query_id, vector, *([keys[0]] if keys else [])]
+    return _joined(queries.filter(F.col(vector).isNotNull()).select(*columns).toArrow(), vectors, k, queries.schema[query_id].dataType.simpleString(), chunk_id, vector, keys, most)
+
+
+def _joined(rows: pa.Table, vectors: DataFrame, k: int, kind: str, chunk_id: str, vector: str, keys: tuple[str, str] | None, most: int) -> DataFrame:
+    matrix = _unit(rows.column(1))
+    if matrix.nbytes > most:
+        raise ValueError(f"{matrix.nbytes} bytes of query vectors; search them by blocks")
+    wanted = [set(w or ()) for w in rows.column(2).to_pylist()] if keys else None
+    names = rows.column(0).combine_chunks() if rows.column(0).num_chunks != 1 else rows.column(0).chunk(0)
+    sent = vectors.sparkSession.sparkContext.broadcast((names, matrix, wanted))
+    some = vectors.filter(F.col(vector).isNotNull())
+    if wanted and all(wanted):
+        some = some.filter(F.col(keys[1]).isin(sorted(set().union(*wanted))))
+    some = some.select(chunk_id, vector, *([keys[1]] if keys else []))
+    kinds = kind, vectors.schema[chunk_id].dataType.simpleString()
+    return some.mapInArrow(_search_task(sent, k, kinds, bool(keys)), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block: int = 4000, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", keys: tuple[str, str] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): cosine of every query with every vector of its keys, the best ``k`` of each query. A zero vector has cosine 0 to all; null ones are left out.
+
+    ``keys`` is as in :func:`vector_join`. Up to ``block`` queries are sent to all tasks at once. More are written once and
+    dealt by a hash of their id into blocks; vectors are scanned once for each block and never shuffled, and each block's hits are
+    written to the shared folder before the next one is sent. Only each task's best ``k`` of a query reach the shuffle.
     """
-    queries = queries.filter(F.col(vector).isNotNull())
+    kind = queries.schema[query_id].dataType.simpleString()
+    asked = queries.filter(F.col(vector).isNotNull()).select(query_id, vector, *([keys[0]] if keys else []))
 
-    def search(some: DataFrame) -> DataFrame:
-        hits = vector_join(some, vectors, k, query_id=query_id, chunk_id=chunk_id, vector=vector)
+    def search(rows: pa.Table) -> DataFrame:
+        hits = _joined(rows, vectors, k, kind, chunk_id, vector, keys, 1 << 30)
         return top_k(hits.withColumn("score", F.round("score", 6)), k, ["query_id"])
 
-    blocks = -(-queries.count() // block)
-    if blocks <= 1:
-        return search(queries)
+    first = asked.limit(block + 1).toArrow()  # tells whether there are more, without counting
+    if first.num_rows <= block:
+        return search(first)
+    asked = written(asked, "asked-vectors")
+    blocks = -(-asked.count() // (block // 2))  # half full in the mean: dealt by hash, none gets far more
     dealt = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    found = [_written(search(queries.filter(dealt == b))) for b in range(blocks)]
+    found = [written(search(asked.filter(dealt == b).toArrow()), "vector-hits") for b in range(blocks)]
     return reduce(DataFrame.unionAll, found)
 
 
