@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,8 @@ from docquarry.functions.scratch import written
 from docquarry.functions.text import citation_markers, content_tokens, natural_number_key
 from docquarry.operators import understand as u
 from docquarry.operators.fusion import diversify, rrf_fuse, rrf_merge_variants, vector_search
-from docquarry.operators.lexical import active_only, bm25_search, top_k
+from docquarry.operators.lexical import active_only, bm25_search
+from docquarry.operators.stored import TextIndex
 
 # Weights of similarity, topics, density, act and section; what else a shortlist keeps; sizes of lists.
 W_SIM, W_TOPIC, W_DENSITY, W_ACT, W_SECTION = 0.28, 0.42, 0.14, 0.10, 0.06
@@ -57,7 +58,8 @@ def signal_scores(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> Dat
     section = F.when((F.col("_number") != "") & F.array_contains("_nums", F.col("_number")), 1.0).otherwise(0.0)
     h = h.select(*hits.columns, topics.alias("_topics"), dense.alias("_dense"), act.alias("_act"), section.alias("_section"), F.coalesce("act_key", F.lit("-")).alias("_key"))
     total = W_SIM * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("sim"))) + W_TOPIC * F.least(F.col("_topics"), F.lit(3)) / 3.0 + W_DENSITY * F.col("_dense") + W_ACT * F.col("_act") + W_SECTION * F.col("_section")
-    reason = F.format_string("sim=%.2f topic=%d dens=%.2f act=%s(%.1f) sec=%.0f", "sim", "_topics", "_dense", "_key", "_act", "_section")
+    short = F.when(F.col("_act") == 0.5, "0.5").otherwise(F.col("_act").cast("int").cast("string"))
+    reason = F.format_string("sim=%.2f topic=%d dens=%.2f act=%s(%s) sec=%.0f", "sim", "_topics", "_dense", F.when(F.col("_key") == "", "-").otherwise(F.col("_key")), short, "_section")
     return h.select(*hits.columns, rounded(total, 4).alias("rerank_score"), reason.alias("rerank_reason"))
 
 
@@ -85,9 +87,9 @@ def normalised_rerank(scored: DataFrame) -> DataFrame:
     return scored.withColumn("normalised", rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("rerank_score") / most)), 6))
 
 
-def hashed_embedding(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, embedding): word counts hashed to ``size`` places; stands in where no model is at hand, and any (key, embedding) may take its place."""
-    kind = texts.schema[key].dataType.simpleString()
+def hashed_embedding(texts: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), size: int = 64) -> DataFrame:
+    """(key, embedding, and the columns to ``keep``): word counts hashed to ``size`` places; stands in where no model is at hand, and any function of this form may take its place."""
+    kind = {c: texts.schema[c].dataType.simpleString() for c in (key, *keep)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,39 +97,47 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, size: int = 64) -> D
             for t in batch[text]:
                 at = [zlib.crc32(w.encode()) % size for w in (t or "").lower().split()]
                 out.append(np.sqrt(np.bincount(at, minlength=size)).tolist())
-            yield pd.DataFrame({key: batch[key], "embedding": out})
+            yield pd.DataFrame({key: batch[key], "embedding": out, **{c: batch[c] for c in keep}})
 
-    return texts.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+    fields = ", ".join((f"`{key}` {kind[key]}", "embedding array<double>", *(f"`{c}` {kind[c]}" for c in keep)))
+    return texts.select(key, text, *keep).mapInPandas(run, fields)
 
 
-def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, *, multi_query: bool = True, act_filter: bool = True) -> DataFrame:
-    """(query_id, chunk_id, final_rank, ...): the whole retrieval for a table of questions.
+def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, *, multi_query: bool = True, act_filter: bool = True, jurisdiction: str | None = None,
+                    overview: str | None = None, embed: Callable[..., DataFrame] = hashed_embedding, index: TextIndex | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, demoted, final_rank): the whole retrieval for a table of questions.
 
     Variants of each question are searched by vectors and by BM25, each pair of lists is fused, the variants' lists are
-    merged, and the rest is rerank, backfill and diversification. Hits of BM25 are filtered by act after their top k.
-    Chunks have chunk_id, text, source, act_key, domain and number.
+    merged, and the rest is rerank, backfill and diversification. Vectors of other acts than a question names, or of
+    another ``jurisdiction``, don't enter its search at all; hits of BM25 are filtered by act after their top k. Chunks have
+    chunk_id, text, source, act_key, domain and number; where they have an embedding, it is searched, else their texts are
+    embedded as the questions are. BM25 reads a stored ``index`` of the chunks where one is given. ``overview`` names a boolean column of the questions: where
+    it holds, the answer is the sample of the question's acts, scored by place, and nothing where it names none.
     """
     active = active_only(chunks) if "superseded" in chunks.columns else chunks
-    r = queries.select("query_id", u.rewritten(F.col("query")).alias("_r"))
-    v = r.select("query_id", "_r.act_keys", F.posexplode("_r.variants" if multi_query else F.array("_r.original")).alias("variant", "text"))
+    r = queries.select("query_id", u.rewritten(F.col("query")).alias("_r"), (F.coalesce(F.col(overview), F.lit(False)) if overview else F.lit(False)).alias("_overview"))
+    r = written(r.select("query_id", "_overview", "_r.*"), "rewritten")
+    v = r.filter("not _overview").select("query_id", "act_keys", F.posexplode("variants" if multi_query else F.filter(F.array("original"), lambda x: x != "")).alias("variant", "text"))
     v = written(v.withColumn("_vid", F.concat_ws("/", "query_id", "variant")), "variants")
-    lists = {}
-    b = bm25_search(v.select(F.col("_vid").alias("query_id"), F.col("text").alias("query")), active, PER_LIST)
+    asked = v.select(F.col("_vid").alias("query_id"), F.col("text").alias("query"), "act_keys")
+    bm25 = bm25_search(asked, active, PER_LIST) if index is None else index.search(asked, PER_LIST)
     if act_filter:
-        b = bm25_post_filter(b, v.select(F.col("_vid").alias("query_id"), "act_keys"), active)
-    lists["bm25"] = b
-    lists["vector"] = vector_search(written(hashed_embedding(v, "_vid", "text"), "asked-vectors"), hashed_embedding(active, "chunk_id", "text"), PER_LIST, query_id="_vid", chunk_id="chunk_id")
-    fused = rrf_fuse(lists["vector"], lists["bm25"], FUSED, weights=(0.6, 0.4)).join(v.select(F.col("_vid").alias("query_id"), F.col("query_id").alias("_q"), "variant"), "query_id")
-    fused = fused.select(F.col("_q").alias("query_id"), "variant", "chunk_id", F.col("fused_rank").alias("rank"), F.col("fused_score").alias("score"), "vector_score")
-    fused = written(fused, "fused")
+        bm25 = bm25_post_filter(bm25, asked, active)
+    scope = active if jurisdiction is None else active.filter(F.col("jurisdiction") == jurisdiction)
+    vectors = scope.select("chunk_id", "embedding", "act_key") if "embedding" in chunks.columns else embed(scope, "chunk_id", "text", ("act_key",))
+    vector = vector_search(embed(v, "_vid", "text", ("act_keys",)), vectors, PER_LIST, query_id="_vid", chunk_id="chunk_id", keys=("act_keys", "act_key") if act_filter else None)
+    fused = rrf_fuse(vector, bm25, FUSED, weights=(0.6, 0.4)).join(v.select(F.col("_vid").alias("query_id"), F.col("query_id").alias("_q"), "variant"), "query_id")
+    fused = written(fused.select(F.col("_q").alias("query_id"), "variant", "chunk_id", F.col("fused_rank").alias("rank"), F.col("fused_score").alias("score"), "vector_score"), "fused")
     sims = fused.groupBy("query_id", "chunk_id").agg(F.coalesce(F.min_by("vector_score", "variant"), F.lit(0.0)).alias("sim"))
-    merged = rrf_merge_variants(fused.drop("vector_score"), FUSED).join(sims, ["query_id", "chunk_id"])
-    merged = written(merged, "merged")
+    merged = written(rrf_merge_variants(fused.drop("vector_score"), FUSED).join(sims, ["query_id", "chunk_id"]), "merged")
     scored = written(signal_scores(merged, queries, active), "signals")
     short = backfill_shortlist(merged, signal_rerank(scored), k)
-    base = F.coalesce("rerank_score", "score").alias("score")
-    items = short.select("query_id", "chunk_id", F.col("place").alias("rank"), base).join(active.select("chunk_id", "source", "number"), "chunk_id")
-    return diversify(items, k).select("query_id", "chunk_id", "score", "demoted", "final_rank")
+    items = short.select("query_id", "chunk_id", F.col("place").alias("rank"), F.coalesce("rerank_score", "score").alias("score")).join(active.select("chunk_id", "source", "number"), "chunk_id")
+    found = diversify(items, k).select("query_id", "chunk_id", "score", "demoted", "final_rank")
+    if not overview:
+        return found
+    sample = overview_sample(r.filter("_overview").select("query_id", "act_keys"), active if "superseded" in chunks.columns else active.withColumn("superseded", F.lit(False)), max(k, OVERVIEW))
+    return found.unionByName(sample.select("query_id", "chunk_id", (1.0 / F.col("place")).alias("score"), F.lit(0).alias("demoted"), F.col("place").alias("final_rank")))
 
 
 def vector_rerank_path(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:

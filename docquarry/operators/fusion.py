@@ -38,9 +38,9 @@ class _Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.score = np.full((queries, 0), self.NONE, np.int64)
-        self.exact = np.zeros((queries, 0))
-        self.ids = np.zeros((queries, 0), np.int64)  # places in ``names``
+        self.score = np.full((queries, k), self.NONE, np.int64)
+        self.exact = np.zeros((queries, k))
+        self.ids = np.zeros((queries, k), np.int64)  # places in ``names``
         self.names: np.ndarray | None = None
 
     @staticmethod
@@ -52,26 +52,28 @@ class _Best:
             return np.take_along_axis(some, np.argsort(-np.take_along_axis(key, some, axis=1), axis=1, kind="stable"), axis=1)
         return np.argsort(-key, axis=1, kind="stable")
 
-    def add(self, exact: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray) -> None:
-        """Takes scores (query by candidate) and the candidates' ids; a candidate that isn't ``allowed`` doesn't count."""
+    def add(self, rows: np.ndarray, exact: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray) -> None:
+        """Takes the scores of some queries (``rows``) with the candidates ``ids``; a candidate that isn't ``allowed`` doesn't count."""
         score = np.rint(exact * 1e6).astype(np.int64)
         if allowed is not None:
             score[~allowed] = self.NONE
         turn = np.empty(len(ids), np.int64)
         turn[np.argsort(ids, kind="stable")] = np.arange(len(ids))
         at = self._cut(score, np.broadcast_to(turn, score.shape), self.k)
-        score, exact = np.take_along_axis(score, at, axis=1), np.take_along_axis(exact, at, axis=1)
-        names = ids if self.names is None else np.concatenate((self.names, ids))
-        at = at + (0 if self.names is None else len(self.names))
-        score, exact, held = np.hstack((self.score, score)), np.hstack((self.exact, exact)), np.hstack((self.ids, at))
+        used, place = np.unique(at, return_inverse=True)
+        known = np.zeros(0, ids.dtype) if self.names is None else self.names
+        self.names = np.concatenate((known, ids[used]))
+        score = np.hstack((self.score[rows], np.take_along_axis(score, at, axis=1)))
+        exact = np.hstack((self.exact[rows], np.take_along_axis(exact, at, axis=1)))
+        held = np.hstack((self.ids[rows], place.reshape(at.shape) + len(known)))
         used, place = np.unique(held, return_inverse=True)
-        names, place = names[used], place.reshape(held.shape)
-        order = np.argsort(names, kind="stable")
-        turn = np.empty(len(names), np.int64)
-        turn[order] = np.arange(len(names))
-        best = self._cut(score, turn[place], self.k)
-        self.score, self.exact, self.ids = (np.take_along_axis(x, best, axis=1) for x in (score, exact, place))
-        self.names = names
+        turn = np.empty(len(used), np.int64)
+        turn[np.argsort(self.names[used], kind="stable")] = np.arange(len(used))
+        best = self._cut(score, turn[place.reshape(held.shape)], self.k)
+        self.score[rows], self.exact[rows], self.ids[rows] = (np.take_along_axis(x, best, axis=1) for x in (score, exact, held))
+        if len(self.names) > 4 * self.ids.size + 100_000:
+            used, place = np.unique(self.ids, return_inverse=True)
+            self.names, self.ids = self.names[used], place.reshape(self.ids.shape)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query numbers, ids and scores of all that count."""
@@ -79,25 +81,26 @@ class _Best:
         return q, (self.names[self.ids[q, c]] if self.names is not None else np.zeros(0, np.int64)), self.exact[q, c]
 
 
-def _search_task(sent: object, k: int, kinds: tuple[str, str], keyed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _search_task(sent: object, k: int, keyed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a task does with its vectors (id, vector and, if ``keyed``, key): its best ``k`` for each of the queries sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, wanted = sent.value  # type: ignore[attr-defined]
         best, kind = _Best(len(names), k), None
-        rows = max(1, CELLS // max(1, len(names)))
+        size = max(1, CELLS // max(1, len(names)))
         for whole in batches if len(names) else ():
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
-                kind = batch.column(0).type
-                allowed = None
-                if keyed:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                kind, allowed, rows = batch.column(0).type, None, np.arange(len(names))
+                if keyed:  # only the queries that want one of the batch's keys are multiplied
                     coded = batch.column(2).dictionary_encode()
                     fits = np.array([[not w or key in w for key in coded.dictionary.to_pylist()] + [not w] for w in wanted])
-                    allowed = fits[:, coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
-                    if not allowed.any():
+                    keys = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+                    rows = np.flatnonzero(fits[:, np.unique(keys)].any(axis=1))
+                    if not len(rows):
                         continue
-                best.add(matrix @ _unit(batch.column(1)).T, allowed, batch.column(0).to_numpy(zero_copy_only=False))
+                    allowed = fits[rows][:, keys]
+                best.add(rows, matrix[rows] @ _unit(batch.column(1)).T, allowed, batch.column(0).to_numpy(zero_copy_only=False))
         q, ids, score = best.rows()
         if len(q):
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids, kind), pa.array(score)], names=["query_id", "chunk_id", "score"])
@@ -128,7 +131,7 @@ def _joined(rows: pa.Table, vectors: DataFrame, k: int, kind: str, chunk_id: str
         some = some.filter(F.col(keys[1]).isin(sorted(set().union(*wanted))))
     some = some.select(chunk_id, vector, *([keys[1]] if keys else []))
     kinds = kind, vectors.schema[chunk_id].dataType.simpleString()
-    return some.mapInArrow(_search_task(sent, k, kinds, bool(keys)), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    return some.mapInArrow(_search_task(sent, k, bool(keys)), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, *, block: int = 4000, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", keys: tuple[str, str] | None = None) -> DataFrame:

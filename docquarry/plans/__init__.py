@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from docquarry.plans import answering, asking, ingesting, queries, records  # noqa: F401
+from docquarry.plans import answering, asking, indexing, ingesting, queries, records  # noqa: F401

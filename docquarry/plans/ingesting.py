@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.scratch import shared_folder
 from docquarry.operators import chunking, corpus
 from docquarry.operators import understand as u
+from docquarry.operators.stored import VersionedTable
 from docquarry.plans import asking
 from docquarry.plans.asking import _FOLLOWS, _PROVISIONS, _TALK, _field
 from docquarry.plans.queries import _EVENTS, _HEADING, registered, table
@@ -215,8 +216,17 @@ def stream_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.replay(spark, f"{sf_dir}/conversations.parquet", lambda c: streams.stream_followups(asking.as_talk(c), idle_ms=None))
 
 
-@registered("SELECT source, 1 AS version, substr(sha256(max_by(text, doc_id)), 1, 16) AS version_id FROM documents GROUP BY source")
+@registered("""WITH b AS (SELECT source, doc_id % 3 AS n, substr(sha256(max_by(text, doc_id)), 1, 16) AS version_id, max_by(text, doc_id) AS text FROM documents GROUP BY ALL),
+    s AS (SELECT *, version_id IS DISTINCT FROM lag(version_id) OVER (PARTITION BY source ORDER BY n) AS step FROM b WHERE regexp_matches(text, '\\S')),
+    v AS (SELECT source, version_id, row_number() OVER (PARTITION BY source ORDER BY n)::INT AS version, n = max(n) OVER (PARTITION BY source) AS newest FROM s WHERE step)
+    SELECT source, version, version_id, NOT newest AS superseded FROM v""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in three parts; the stream goes on after each, and the table's newest version is read."""
     folder = _folder(spark)
-    streams.replay(spark, f"{sf_dir}/documents.parquet", lambda d: d.select("source", "text", F.col("doc_id").alias("seq")), job=lambda d: streams.stream_ingest(d, folder, "now"))
-    return spark.read.parquet(f"{folder}/0").select("source", "version", "version_id")
+    held = VersionedTable(spark, f"{folder}/table", buckets=16)
+    docs = table(spark, sf_dir, "documents").select("source", "text", F.col("doc_id").alias("seq"))
+    for n in range(3):
+        docs.filter(F.col("seq") % 3 == n).write.parquet(f"{folder}/arrived/{n}")
+        texts = spark.readStream.schema(docs.schema).parquet(f"{folder}/arrived/*")
+        streams.stream_ingest(texts, held, "now", f"{folder}/state")
+    return held.read().select("source", "version", "version_id", "superseded")

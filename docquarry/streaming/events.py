@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docquarry.functions.scratch import shared_folder, written
-from docquarry.operators import corpus
+from docquarry.functions.scratch import shared_folder
+from docquarry.operators.stored import VersionedTable
 from docquarry.operators.understand import is_followup
 
 
@@ -78,14 +78,13 @@ def stream_followups(turns: DataFrame, window: int = 6, idle_ms: int | None = 3_
     return t.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, turn long, effective string", "subjects array<string>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_ingest(texts: DataFrame, table_path: str, ingested_at: str) -> None:
-    """Versioned ingestion of a stream (source, text): each batch's last text by source, ``seq`` deciding, makes at most one version. The table at ``table_path`` is written anew beside the old one and then named by the pointer file of its folder."""
-    spark = texts.sparkSession
-    schema = "source string, text string, version_id string, version int, superseded boolean, ingested_at string"
+def stream_ingest(texts: DataFrame, table: VersionedTable, ingested_at: str, checkpoint: str) -> None:
+    """Versioned ingestion of a stream (source, text, seq) into ``table``: each batch's last text by source, ``seq`` deciding, makes at most one version.
+
+    Batches are named by their number in the stream, so one that runs again after a failure changes nothing.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        last = batch.groupBy("source").agg(F.max_by("text", "seq").alias("text"))
-        now = spark.read.schema(schema).parquet(f"{table_path}/{n - 1}") if n else spark.createDataFrame([], schema)
-        corpus.ingest_versioned(written(now, "versions"), last, F.lit(ingested_at)).write.mode("overwrite").parquet(f"{table_path}/{n}")
+        table.ingest(f"stream-{n}", batch.groupBy("source").agg(F.max_by("text", "seq").alias("text")), F.lit(ingested_at))
 
-    texts.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{table_path}/_state").foreachBatch(step).start().awaitTermination()
+    texts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(step).start().awaitTermination()
