@@ -72,14 +72,14 @@ def test_versioned_ingest(spark):
 
 def test_vector_search_sends_one_block_at_a_time(spark, monkeypatch):
     """Many blocks give the hits of one, and no search holds all queries."""
-    parts, written = [], fusion._written
-    monkeypatch.setattr(fusion, "_written", lambda df: parts.append(written(df)) or parts[-1])
+    parts, written = [], fusion.written
+    monkeypatch.setattr(fusion, "written", lambda df, name: (parts.append(written(df, name)) or parts[-1]) if name == "vector-hits" else written(df, name))
     e = spark.range(60).select(F.col("id").alias("vec_id"), F.array(*(F.sin((F.col("id") + 1) * (i + 1.0)) for i in range(6))).alias("embedding"))
     search = lambda block: sorted(map(tuple, fusion.vector_search(e.filter("vec_id % 2 = 0"), e, 3, block=block, query_id="vec_id", chunk_id="vec_id").collect()))
     one = search(1000)
     assert len(one) == 90 and not parts and search(10) == one
     held = [p.select("query_id").distinct().count() for p in parts]
-    assert len(held) == 3 and sum(held) == 30 and max(held) < 30
+    assert len(held) == 6 and sum(held) == 30 and max(held) < 30
     assert fusion.vector_search(e.limit(0), e, query_id="vec_id", chunk_id="vec_id").count() == 0
 
 
