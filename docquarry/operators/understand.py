@@ -1,7 +1,7 @@
 """Understanding of questions: acts, topics, entities, intent, route and rewriting, as expressions on a text column.
 
-The dictionaries are parameters with the statutes' values as defaults; all are small and fixed, so they stand in the
-expressions themselves and need no join.
+The dictionaries are parameters with the statutes' values as defaults. As expressions they suit small ones; :func:`understood`
+finds the entries of large ones by automata.
 """
 
 from __future__ import annotations
@@ -9,153 +9,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import vocabulary
 from docquarry.functions.text import normalise_alias, section_numbers
+from docquarry.functions.vocabulary import ANCHOR_LEAST, ANCHOR_TYPES, BONUS, COURTS, FOLLOWUP_CUE, INTENTS, LEAST, MOST, MOST_BONUS, RAG_INTENTS, SELF_CONTAINED
 
-# Acts (key | name | unit | domain | aliases), in registry order.
-ACT_LINES = """
-ipc | Indian Penal Code, 1860 | section | Criminal Law | ipc, indian penal code, penal code
-bns | Bharatiya Nyaya Sanhita, 2023 | section | Criminal Law | bns, bharatiya nyaya sanhita, nyaya sanhita
-mv | Motor Vehicles Act, 1988 | section | Motor Vehicles & Transport | mv act, motor vehicles act, motor vehicle act, mva, mv, motor act
-constitution | Constitution of India, 1950 | article | Constitutional Law | constitution, constitution of india, coi, indian constitution
-crpc | Code of Criminal Procedure, 1973 | section | Criminal Procedure | crpc, code of criminal procedure, criminal procedure code
-bnss | Bharatiya Nagarik Suraksha Sanhita, 2023 | section | Criminal Procedure | bnss, bharatiya nagarik suraksha sanhita, nagarik suraksha sanhita
-evidence | Indian Evidence Act, 1872 | section | Evidence Law | evidence act, indian evidence act, iea, bharatiya sakshya adhiniyam, bsa, sakshya
-consumer | Consumer Protection Act, 2019 | section | Consumer Protection | consumer protection act, consumer act, cpa, consumer law
-it | Information Technology Act, 2000 | section | Cyber & Information Technology | it act, information technology act, ita, cyber law
-contract | Indian Contract Act, 1872 | section | Contract & Commercial Law | contract act, indian contract act, ica, contract law, law of contracts
-ni | Negotiable Instruments Act, 1881 | section | Banking & Negotiable Instruments | ni act, negotiable instruments act, negotiable act, nia, cheque act
-cpc | Code of Civil Procedure, 1908 | section | Civil Procedure | cpc, code of civil procedure, civil procedure code
-arbitration | Arbitration and Conciliation Act, 1996 | section | Arbitration & ADR | arbitration act, arbitration and conciliation act, arbitration law
-rti | Right to Information Act, 2005 | section | Information & Transparency | rti, rti act, right to information, right to information act
-companies | Companies Act, 2013 | section | Corporate Law | companies act, company law, company act
-tpa | Transfer of Property Act, 1882 | section | Property & Real Estate | tpa, transfer of property act, property act, transfer of property
-sra | Specific Relief Act, 1963 | section | Civil Remedies | specific relief act, sra, specific performance act
-copyright | Copyright Act, 1957 | section | Intellectual Property | copyright act, copyright law, indian copyright act
-trademarks | Trade Marks Act, 1999 | section | Intellectual Property | trade marks act, trademark act, trademarks act, tma
-patents | Patents Act, 1970 | section | Intellectual Property | patents act, patent act, indian patents act
-pwdva | Protection of Women from Domestic Violence Act, 2005 | section | Family & Domestic Violence | pwdva, domestic violence act, protection of women from domestic violence act
-"""
-# Topics (topic | terms | acts), in order.
-TOPIC_LINES = """
-murder | murder, homicide, killing | ipc, bns
-cheating | cheating, fraud, deception, online cheating | ipc, bns, it
-rape | rape, sexual offence, sexual assault | ipc, bns
-theft | theft, stealing | ipc, bns
-defamation | defamation, reputation | ipc, bns
-sedition | sedition, sovereignty, disaffection | ipc, bns, constitution
-bail | anticipatory bail, pre-arrest bail, bail | crpc, bnss
-arrest | arrest, arrest without warrant, police powers | crpc, bnss
-fir | fir, first information report, zero fir | crpc, bnss
-quashing | quashing, inherent powers, abuse of process | crpc, bnss
-privacy | privacy, right to life, dignity | constitution
-free speech | freedom of speech, expression, reasonable restrictions | constitution
-equality | equality, equal protection | constitution
-writ | writ, habeas corpus, mandamus, certiorari | constitution
-hacking | hacking, unauthorised access, cyber crime | it
-identity theft | identity theft, phishing, personation | it
-accident | accident compensation, motor accident, claims tribunal | mv
-drunk driving | drunk driving, drink driving, drink and drive, drinking and driving, under influence, dui | mv
-helmet | helmet, protective headgear | mv
-consumer | consumer, deficiency in service, unfair trade practice | consumer
-electronic evidence | electronic evidence, 65b certificate, digital evidence, admissibility, screenshot, whatsapp, email, cctv, recording, photograph | evidence
-confession | confession, confession to police | evidence, crpc, bnss
-dowry | dowry, dowry death, cruelty | ipc, bns
-property | right to property, deprivation of property, theft | constitution, ipc
-contract | contract, agreement, breach of contract, specific performance, consideration | contract
-cheque bounce | cheque bounce, section 138, dishonour of cheque, negotiable instrument | ni
-arbitration | arbitration, arbitral award, arbitration agreement, arbitrator, section 34, section 11 | arbitration
-rti | right to information, rti application, rti, pio, information commission | rti
-tenancy | tenancy, lease, rent, landlord, eviction | tpa
-injunction | injunction, temporary injunction, permanent injunction, stay order, restraining order | sra, cpc
-copyright | copyright, infringement, fair use, fair dealing, moral rights | copyright
-domestic violence | domestic violence, shared household, protection order, residence order | pwdva, ipc, bns
-"""
-# Intents in order of precedence, each with its patterns and their weights.
-INTENT_LINES = r"""
-citation_lookup | 0.95 | \bair\s+\d{4}\s+\w+\s+\d+
-citation_lookup | 0.80 | \bair\s+\d{4}\b
-citation_lookup | 0.95 | \(\d{4}\)\s+\d+\s+scc\b
-citation_lookup | 0.95 | \d{4}\s+scc\s+online\b
-citation_lookup | 0.70 | \b(find|fetch|get|show)\b.{0,30}\bcitation\b
-bare_act_query | 0.85 | \bsection\s+\d+[a-z]?\b
-bare_act_query | 0.75 | \bs\s*\.\s*\d+[a-z]?\b
-bare_act_query | 0.85 | \barticle\s+\d+[a-z]?\b
-bare_act_query | 0.75 | \bart\s*\.\s*\d+[a-z]?\b
-bare_act_query | 0.80 | \b\w[\w\s]{2,35}act\s*,?\s*\d{4}\b
-bare_act_query | 0.75 | \b(ipc|crpc|cpc|ibc|fema|pmla|rera|ndps|pocso|posh|rti\s*act|tpa|ni\s*act|it\s*act|companies\s+act|gst\s*act|arbitration\s+act)\b
-legal_overview | 0.83 | \btell\s+me\s+(more\s+)?about\b
-legal_overview | 0.86 | \b(overview|introduction|summary|brief)\s+(of|to|on|about)\b
-legal_overview | 0.86 | \bwhat\s+does\b.{0,40}\b(cover|deal\s+with|regulate|govern|contain|provide|address|include)\b
-legal_overview | 0.84 | \bwhat\s+is\s+(the\s+)?[\w\s]{0,40}\b(act|code|constitution|sanhita|adhiniyam)\b
-legal_overview | 0.82 | \bexplain\s+(the\s+)?[\w\s]{0,40}\b(act|code|constitution|sanhita|adhiniyam|law)\b
-legal_overview | 0.84 | \b(purpose|scope|aim|objective|object|ambit)\s+of\s+(the\s+)?[\w\s]{0,40}\b(act|code|constitution|sanhita|adhiniyam)\b
-legal_overview | 0.78 | \b(main|key|important|major)\s+(provisions|sections|features|areas|topics|points)\b
-case_lookup | 0.85 | \b[a-z]\w[\w\s]{1,30}\bv\.?\s+[a-z]\w[\w\s]{1,30}
-case_lookup | 0.80 | \blandmark\s+(case|judgment|ruling)\b
-case_lookup | 0.80 | \b(find|show|get|search|look\s+up)\b.{0,30}\b(case|cases|judgments?|judgements?|ruling[s]?)\b
-case_lookup | 0.75 | \b(judgments?|judgements?|ruling[s]?|verdict|decision)\b.{0,30}\b(on|in|about|regarding)\b
-case_lookup | 0.65 | \bprecedent\b
-document_summary | 0.90 | \b(summarize|summarise|summary)\b
-document_summary | 0.80 | \b(give\s+me|provide)\s+(a|the)\s+(summary|gist|overview|brief)\b
-document_summary | 0.75 | \b(key|important|critical|main)\s+(clauses|points|provisions|terms|issues|obligations)\b
-legal_research | 0.66 | \bwhat\s+happens\s+if\b
-legal_research | 0.68 | \bcan\s+(the\s+)?police\b
-legal_research | 0.60 | \bcan\s+(i|we|you|he|she|they|a|an|my|some\s?one)\b
-legal_research | 0.66 | \b(punishment|penalty|fine|sentence|jail|imprisonment)\s+for\b
-legal_research | 0.52 | \b(police|arrest|warrant|bail|fir|evidence|helmet|licen[cs]e|accident|tenant|landlord|contract|breach|dowry|defamation|cheat\w*|fraud\w*|theft|consumer|cyber\w*|hack\w*|sedition|murder|homicide|rape|writ|rti|arbitration|injunction)\b
-legal_research | 0.87 | \bwhat\s+are\s+(the\s+)?(conditions|grounds|requirements|elements|procedure)\s+for\b
-legal_research | 0.50 | \b(explain|define|describe)\b
-conversation | 0.96 | ^\s*(hi+|hey+|hello|hiya|yo|namaste|greetings)(?:\s+[a-z]+){0,4}[\s,.!'-]*$
-conversation | 0.96 | ^\s*(thanks|thank\s*you|thanx|thx|ty|appreciate|cheers)(?:\s+[a-z]+){0,4}[\s,.!'-]*$
-conversation | 0.96 | ^\s*(good\s+(morning|afternoon|evening|night)|gm|gn)(?:\s+[a-z]+){0,4}[\s,.!'-]*$
-"""
-# Entity rules in order (type | confidence | whether case counts | pattern).
-ENTITY_LINES = r"""
-LEGAL_CITATION | 0.97 | i | \bAIR\s+\d{4}\s+(?:SC|Bom|Cal|Mad|All|Del|AP|Raj|Ori|Pat|Ker|MP|Guj|HP|Goa|Sik|Gau|Jhr|Utr)\s+\d+
-LEGAL_CITATION | 0.97 | i | \(\d{4}\)\s+\d+\s+SCC\s+\d+
-LEGAL_CITATION | 0.95 | i | \d{4}\s+SCC\s+OnLine\s+\w+\s+\d+
-LEGAL_CITATION | 0.72 | i | \bAIR\s+\d{4}\b
-COURT | 0.95 | i | \bSupreme\s+Court(?:\s+of\s+India)?\b
-COURT | 0.92 | c | \b(?:NCLAT|NCLT|SAT|TDSAT|NGT|ITAT|CESTAT|DRT|DRAT|BIFR)\b
-COURT | 0.75 | i | \bHigh\s+Court\b
-ACT | 0.93 | c | \b(?:IPC|CrPC|Cr\.P\.C\.|CPC|C\.P\.C\.|IBC)\b
-ACT | 0.90 | i | \b(?:FEMA|PMLA|RERA|NDPS|POCSO|POSH|TPA|SEBI\s+Act|RTI\s+Act|NI\s+Act|IT\s+Act|GST\s+Act|MV\s+Act|EPF\s+Act|ESIC\s+Act|SARFAESI)\b
-ACT | 0.92 | i | \b(?:Indian\s+Penal\s+Code|Code\s+of\s+Criminal\s+Procedure|Code\s+of\s+Civil\s+Procedure|Insolvency\s+and\s+Bankruptcy\s+Code)\b
-ACT | 0.90 | c | \b[A-Z][a-z]{2,}(?:\s+(?:and\s+|of\s+|for\s+|on\s+)?[A-Za-z]{2,}){1,5}\s+Act\s*,\s*\d{4}\b
-ACT | 0.78 | c | \b[A-Z][a-z]{2,}(?:\s+(?:and\s+|of\s+|for\s+|on\s+)?[A-Za-z]{2,}){1,5}\s+Act\b
-SECTION | 0.95 | i | \bSection\s+\d+[A-Za-z]?\s*\(\w\)
-SECTION | 0.93 | i | \bSection\s+\d+[A-Za-z]?\b
-SECTION | 0.85 | i | \bSec\.?\s+\d+[A-Za-z]?\b
-SECTION | 0.94 | i | \b(?:IPC|CrPC|Cr\.?P\.?C\.?|CPC|BNSS|BNS|NI\s*Act|IT\s*Act|MV\s*Act)\s+\d+[A-Za-z]?\b
-SECTION | 0.94 | i | \b\d+[A-Za-z]?\s+(?:IPC|CrPC|Cr\.?P\.?C\.?|CPC|BNSS|BNS|NI\s*Act|IT\s*Act|MV\s*Act)\b
-ARTICLE | 0.95 | i | \bArticle\s+\d+[A-Za-z]?\s*\(\w\)
-ARTICLE | 0.93 | i | \bArticle\s+\d+[A-Za-z]?\b
-ARTICLE | 0.85 | i | \bArt\.?\s+\d+[A-Za-z]?\b
-"""
-SELF_CONTAINED = r"(?i)\b(section|sec\.?|article|art\.?|ipc|crpc|cpc|bns|bnss|\bact\b|constitution)\b"
-FOLLOWUP_CUE = (r"(?i)^\s*(what|and|its|it|how|when|where|why|is|are|can|does|do|any|give|list|show|more|also|elaborate|continue|explain|tell\s+me|what\s+about|punishment|penalty|exceptions?|"
-                r"defen[cs]e|procedure|meaning|example|that|this|the\s+punishment)\b")
-RAG_INTENTS = ["legal_research", "document_summary", "legal_overview"]
-ANCHOR_TYPES, ANCHOR_LEAST = ["ACT", "SECTION", "ARTICLE", "LEGAL_CITATION"], 0.80
-BONUS, MOST_BONUS, MOST, LEAST = 0.04, 0.10, 0.99, 0.45
-
-
-def _lines(text: str, n: int) -> list[list[str]]:
-    return [line.split(" | ", n - 1) for line in text.strip().splitlines()]
-
-
-ACTS = {key: {"name": name, "unit": unit, "domain": domain} for key, name, unit, domain, _ in _lines(ACT_LINES, 5)}
-ALIASES = {alias: key for key, *_, aliases in _lines(ACT_LINES, 5) for alias in aliases.split(", ")}
-TOPICS = {topic: terms.split(", ") for topic, terms, _ in _lines(TOPIC_LINES, 3)}
-TOPIC_ACTS = {topic: acts.split(", ") for topic, _, acts in _lines(TOPIC_LINES, 3)}
-INTENTS: dict[str, list[tuple[str, float]]] = {}
-for _intent, _weight, _pattern in _lines(INTENT_LINES, 3):
-    INTENTS.setdefault(_intent, []).append((_pattern, float(_weight)))
-ENTITY_RULES = [(kind, float(sure), re.compile(pattern, re.IGNORECASE if case == "i" else 0)) for kind, sure, case, pattern in _lines(ENTITY_LINES, 4)]
+ACTS = {key: {"name": name, "unit": unit, "domain": domain} for key, (name, unit, domain, _) in vocabulary.ACTS.items()}
+ALIASES = {alias: key for key, (*_, aliases) in vocabulary.ACTS.items() for alias in aliases}
+TOPICS = {topic: terms for topic, (terms, _) in vocabulary.TOPICS.items()}
+TOPIC_ACTS = {topic: acts for topic, (_, acts) in vocabulary.TOPICS.items()}
+ENTITY_RULES = [(kind, sure, re.compile(pattern, 0 if case else re.IGNORECASE)) for kind, sure, case, pattern in vocabulary.ENTITY_RULES]
 
 
 def _known(x: Column) -> Column:
@@ -174,10 +41,8 @@ def resolve_act(text: Column, aliases: dict[str, str] = ALIASES) -> Column:
 
 
 def _fires(low: Column, topic: str, terms: list[str]) -> Column:
-    out = F.contains(low, F.lit(topic))
-    for t in terms:
-        out = out | F.contains(low, F.lit(t))
-    return out
+    """Whether the topic's name or one of its terms stands anywhere in a lower-case text."""
+    return low.rlike("|".join(re.escape(t) for t in dict.fromkeys([topic, *terms])))
 
 
 def expand_topics(text: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
@@ -198,6 +63,53 @@ def detect_acts(text: Column) -> Column:
     return F.array_distinct(_known(F.concat(F.array(resolve_act(text)), F.transform(words, lambda w: resolve_act(w)), topic_acts(text))))
 
 
+def understood(queries: DataFrame, query_id: str = "query_id", query: str = "query", aliases: dict[str, str] = ALIASES, topics: dict[str, list[str]] = TOPICS, acts: dict[str, list[str]] = TOPIC_ACTS) -> DataFrame:
+    """(query_id, act, act_keys, terms, topic_acts): what :func:`resolve_act`, :func:`detect_acts`, :func:`expand_topics` and :func:`topic_acts` give, for dictionaries of any size.
+
+    One automaton of all aliases and one of all topics' names and terms read each text once, so the work grows with the
+    texts and what is found in them, not with the dictionaries. Texts are prepared by Spark's expressions.
+    """
+    kind = queries.schema[query_id].dataType.simpleString()
+    words = F.transform(F.regexp_extract_all(query, F.lit("[a-zA-Z]+"), F.lit(0)), normalise_alias)
+    order = list(aliases)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named, about = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for n, alias in enumerate(order):
+            named.add_word(alias, n)
+        hold: dict[str, list[int]] = {}
+        for n, (topic, terms) in enumerate(topics.items()):
+            for term in (topic, *terms):
+                hold.setdefault(term, []).append(n)
+        for term, ns in hold.items():
+            about.add_word(term, ns)
+        for a in (named, about):
+            if len(a):
+                a.make_automaton()
+        every = list(topics)
+
+        def act(text: str) -> str | None:
+            if text in aliases:
+                return aliases[text]
+            found = min((n for _, n in named.iter(text)), default=None) if len(named) else None
+            return None if found is None else aliases[order[found]]
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for norm, low, each in zip(batch["norm"], batch["low"], batch["words"], strict=True):
+                if norm is None:
+                    rows.append((None, None, None, None))
+                    continue
+                fired = [every[n] for n in sorted({n for _, ns in about.iter(low) for n in ns})] if len(about) else []
+                whole, scope = act(norm), list(dict.fromkeys(k for t in fired for k in acts.get(t, [])))
+                keys = [k for k in dict.fromkeys([whole, *map(act, each), *scope]) if k is not None]
+                rows.append((whole, keys, list(dict.fromkeys(x for t in fired for x in topics[t])), scope))
+            yield pd.DataFrame({"query_id": batch["query_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("act", "act_keys", "terms", "topic_acts"))}})
+
+    ready = queries.select(F.col(query_id).alias("query_id"), normalise_alias(F.col(query)).alias("norm"), F.lower(query).alias("low"), words.alias("words"))
+    return ready.mapInPandas(run, f"query_id {kind}, act string, act_keys array<string>, terms array<string>, topic_acts array<string>")
+
+
 def act_value(key: Column, field: str, default: Column | None = None) -> Column:
     """An act's name, unit or domain; ``default`` for keys that aren't known."""
     found = F.element_at(F.create_map(*(F.lit(x) for k, v in ACTS.items() for x in (k, v[field]))), key)
@@ -268,7 +180,8 @@ def route(intent: Column, entities: Column) -> Column:
     anchor = best_anchor(entities)
     looked_up = (intent != "legal_overview") & anchor.isNotNull()
     way = F.when(intent == "conversation", "conversation").when(looked_up, "deterministic").when(intent.isin(RAG_INTENTS), "rag").otherwise("unknown")
-    reason = (F.when(intent == "conversation", "conversational input").when(looked_up, F.concat(anchor["type"], F.lit(" entity '"), anchor["value"], F.lit("'")))
+    reason = (F.when(intent == "conversation", "conversational input — no legal retrieval")
+              .when(looked_up, F.concat(anchor["type"], F.lit(" entity '"), anchor["value"], F.lit("' detected (confidence "), anchor["confidence"].cast("string"), F.lit(")")))
               .when(intent.isin(RAG_INTENTS), F.concat(F.lit("intent is "), intent)).otherwise("no legal intent or provision identified"))
     return F.struct(way.alias("route"), reason.alias("reason"))
 
@@ -298,7 +211,7 @@ def norm_entity_value(kind: Column, raw: Column) -> Column:
     unit = lambda word, prefix: F.concat(
         F.lit(f"{word} "), F.regexp_extract(flat, prefix, 1), F.upper(F.regexp_extract(flat, prefix, 2)), F.regexp_extract(flat, prefix, 3))
     section, article, bare = r"(?i)^(?:section|sec\.?)\s*(\d+)([a-z]?)\s*(\(\w\))?", r"(?i)^(?:article|art\.?)\s*(\d+)([a-z]?)\s*(\(\w\))?", r"(?i)(\d+)([a-z]?)()"
-    court = F.when(F.lower(flat).isin("supreme court", "supreme court of india"), "Supreme Court of India").when(F.lower(flat) == "high court", "High Court").otherwise(flat)
+    court = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in COURTS.items() for x in pair)), F.lower(flat)), flat)
     return (F.when((kind == "SECTION") & flat.rlike(section), unit("Section", section)).when((kind == "SECTION") & flat.rlike(bare), unit("Section", bare)).when((kind == "ARTICLE") & flat.rlike(article), unit("Article", article))
             .when(kind == "ACT", F.regexp_replace(flat, r"(?i)^(?:the|an?)\s+", "")).when(kind == "COURT", court).otherwise(flat))
 

@@ -10,7 +10,8 @@ from docquarry.plans.queries import _SECTIONS, registered, table
 
 PHRASES = ["Tell me about Section 302 IPC", "Can I drink and drive in India?", "hello there", "Give me an overview of the Indian Penal Code, 1860", "what is the punishment", "Section 25F(1) of the Industrial Disputes Act, 1947",
            "AIR 1978 SC 597", "cheque bounce under NI Act 138", "what about bail", "Article 21 of the Constitution", "can the police arrest without warrant", "find cases on dowry death", "thanks", "summarise this", "IPC 420 and BNS 318",
-           "is online cheating a crime", "and the penalty", "explain the it act", "Sec. 138A for landlord and tenant", "RTI application", "what are the grounds for injunction", "consumer complaint, 65b certificate", "nothing legal here"]
+           "is online cheating a crime", "and the penalty", "explain the it act", "Sec. 138A for landlord and tenant", "RTI application", "what are the grounds for injunction", "consumer complaint, 65b certificate", "nothing legal here", "patent infringement", "intermediary liability", "trademark passing off", "who is the director of a company", "bye", "1990 SCR 1234 and 2019 Cri LJ 500",
+           "National Green Tribunal or Delhi High Court", "is a learner's licence mandatory", "what are the conditions for a writ petition", "burden of proof in a civil suit"]
 ACT_KEYS = list(u.ACTS)
 
 
@@ -27,7 +28,7 @@ def _quoted(values: list[str]) -> str:
 _ASKED = f"a AS (SELECT doc_id AS query_id, ({_quoted(PHRASES)})[doc_id % {len(PHRASES)} + 1] || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || split_part(text, ' ', 1) END AS query FROM documents)"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[.,]', '', 'g'), '\b(1[89]\d{{2}}|20\d{{2}})\b', '', 'g'), '^the\s+', ''), '\s+', ' ', 'g'))"
 _RESOLVED = "coalesce(CASE n " + " ".join(f"WHEN '{a}' THEN '{k}'" for a, k in u.ALIASES.items()) + " END, CASE " + " ".join(f"WHEN contains(n, '{a}') THEN '{k}'" for a, k in u.ALIASES.items()) + " END)"
-_FIRES = {t: "(" + " OR ".join(f"contains(lower(query), '{x}')" for x in dict.fromkeys([t, *terms])) + ")" for t, terms in u.TOPICS.items()}
+_FIRES = {t: "(" + " OR ".join(f"contains(lower(query), '{x.replace(chr(39), chr(39) * 2)}')" for x in dict.fromkeys([t, *terms])) + ")" for t, terms in u.TOPICS.items()}
 _TERMS = "flatten([" + ", ".join(f"CASE WHEN {_FIRES[t]} THEN {_quoted(terms)} ELSE [] END" for t, terms in u.TOPICS.items()) + "])"
 _TACTS = "flatten([" + ", ".join(f"CASE WHEN {_FIRES[t]} THEN {_quoted(u.TOPIC_ACTS[t])} ELSE [] END" for t in u.TOPICS) + "])"
 _once = "list_filter({0}, lambda x, i: x IS NOT NULL AND list_position({0}, x) = i)".format
@@ -41,22 +42,22 @@ def _joined(c: F.Column) -> F.Column:
 
 @registered(f"WITH {_UNDERSTOOD} SELECT query_id, whole AS act FROM un")
 def resolve_act(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select("query_id", u.resolve_act(F.col("query")).alias("act"))
+    return u.understood(asked(spark, sf_dir)).select("query_id", "act")
 
 
 @registered(f"WITH {_UNDERSTOOD} SELECT query_id, array_to_string(acts, '; ') AS acts FROM un")
 def detect_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select("query_id", _joined(u.detect_acts(F.col("query"))).alias("acts"))
+    return u.understood(asked(spark, sf_dir)).select("query_id", _joined(F.col("act_keys")).alias("acts"))
 
 
 @registered(f"WITH {_UNDERSTOOD} SELECT query_id, array_to_string(terms, '; ') AS terms FROM un")
 def expand_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select("query_id", _joined(u.expand_topics(F.col("query"))).alias("terms"))
+    return u.understood(asked(spark, sf_dir)).select("query_id", _joined(F.col("terms")).alias("terms"))
 
 
 @registered(f"WITH {_UNDERSTOOD} SELECT query_id, array_to_string(tacts, '; ') AS acts FROM un")
 def topic_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select("query_id", _joined(u.topic_acts(F.col("query"))).alias("acts"))
+    return u.understood(asked(spark, sf_dir)).select("query_id", _joined(F.col("topic_acts")).alias("acts"))
 
 
 def _field(key: str, field: str) -> str:
@@ -181,7 +182,7 @@ def build_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""WITH {_INTENTS}, {_BEST}, r AS (SELECT query_id, intent, best FROM c JOIN h USING (query_id))
     SELECT query_id, CASE WHEN intent = 'conversation' THEN 'conversation' WHEN intent <> 'legal_overview' AND best IS NOT NULL THEN 'deterministic' WHEN intent IN {tuple(u.RAG_INTENTS)} THEN 'rag' ELSE 'unknown' END AS route,
-    CASE WHEN intent = 'conversation' THEN 'conversational input' WHEN intent <> 'legal_overview' AND best IS NOT NULL THEN best.type || ' entity ''' || best.value || '''' WHEN intent IN {tuple(u.RAG_INTENTS)} THEN 'intent is ' || intent ELSE 'no legal intent or provision identified' END AS reason FROM r""")
+    CASE WHEN intent = 'conversation' THEN 'conversational input — no legal retrieval' WHEN intent <> 'legal_overview' AND best IS NOT NULL THEN best.type || ' entity ''' || best.value || ''' detected (confidence ' || best.confidence || ')' WHEN intent IN {tuple(u.RAG_INTENTS)} THEN 'intent is ' || intent ELSE 'no legal intent or provision identified' END AS reason FROM r""")
 def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     intents = asked(spark, sf_dir).select("query_id", u.classify_intent(F.col("query"))["intent"].alias("intent"))
     return intents.join(made_entities(spark, sf_dir), "query_id").select("query_id", u.route(F.col("intent"), F.col("entities")).alias("r")).select("query_id", "r.*")

@@ -157,17 +157,17 @@ def fold_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def expand_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of one segment each: no overlap, and windows no larger than a piece."""
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"), chunking.ChunkConfig(max_chars=400, overlap=0, min_chars=1)).select("chunk_id", "start_char", "end_char", "section_title")
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), chunking.ChunkConfig(max_chars=400, overlap=0, min_chars=1), source="doc_id").select("chunk_id", "start_char", "end_char", "section_title")
 
 
 @registered()
 def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"), chunking.UPLOADS)
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), chunking.UPLOADS, source="doc_id")
 
 
 @registered()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"))
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), source="doc_id")
 
 
 @registered("SELECT lang AS strategy, count(DISTINCT source) AS documents, count(*) AS chunks, min(length(text))::INT AS least, max(length(text))::INT AS most, round(avg(length(text)), 3) AS mean FROM documents GROUP BY lang")
