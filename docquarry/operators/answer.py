@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.scratch import written
 from docquarry.functions.text import citation_markers, content_tokens, natural_number_key
 from docquarry.operators import understand as u
+from docquarry.operators.evaluate import retrieval_overlap, source_name_match
 from docquarry.operators.fusion import diversify, rrf_fuse, rrf_merge_variants, vector_search
 from docquarry.operators.lexical import active_only, bm25_search
 from docquarry.operators.stored import TextIndex
@@ -21,6 +23,13 @@ from docquarry.operators.stored import TextIndex
 W_SIM, W_TOPIC, W_DENSITY, W_ACT, W_SECTION = 0.28, 0.42, 0.14, 0.10, 0.06
 KEEP, RELATIVE, FLOOR = 3, 0.78, 0.18
 PER_LIST, FUSED, OVERVIEW, EXCERPT = 12, 16, 12, 320
+RAG_INTRO = "Based on your question, here is what the relevant Indian law provides. The most applicable provisions in the corpus are:"
+OVERVIEW_CLOSE = "This is legal information, not legal advice. Ask about any listed provision for the full statutory text."
+NOTHING = "No relevant provision in the corpus."
+NO_ACT = "**I don't have this Act indexed in the corpus yet.**"
+NO_PROVISION = "**I couldn't find that exact provision in the corpus.**"
+NO_MATCH = "**I couldn't find a provision in the corpus that directly addresses this.**"
+CLARIFY, THANKS, GREETING = "Please name an Act, a provision or a legal question.", "You're welcome.", "Hello. Ask about an Act, a provision or a legal question."
 DISCLAIMER = "This is legal information, not legal advice. Refer to the cited sources below for the authoritative text and judgments."
 
 
@@ -200,16 +209,31 @@ def assemble_context(queries: DataFrame, hits: DataFrame, chunks: DataFrame, clo
     return queries.join(joined, "query_id", "left").select("query_id", F.concat(F.lit("Context passages:\n\n"), F.coalesce("_c", F.lit("")), F.lit("\n\nQuestion: "), F.regexp_replace("query", r"^\s+|\s+$", ""), F.lit("\n\n" + closer)).alias("prompt"))
 
 
-def answer_deterministic(found: DataFrame, terse: bool = False) -> DataFrame:
-    """(query_id, answer) from provisions (query_id, place, unit, number, title, act, content, citations); ``terse`` gives their contents alone."""
-    unit = F.when(F.col("unit") == "article", "Article").otherwise("Section")
-    label = F.concat(F.lit("**"), unit, F.lit(" "), "number", F.lit(" — "), "title", F.when(F.col("act") != "", F.concat(F.lit(" ("), "act", F.lit(")"))).otherwise(""), F.lit("**"))
+def _unit(unit: Column) -> Column:
+    return F.when(unit == "article", "Article").otherwise("Section")
+
+
+def answer_deterministic(found: DataFrame, terse: bool = False, intro: str | None = None) -> DataFrame:
+    """(query_id, answer) from provisions (query_id, place, unit, number, title, act, content, citations); ``terse`` gives their contents alone, ``intro`` begins in another way."""
+    label = F.concat(F.lit("**"), _unit(F.col("unit")), F.lit(" "), "number", F.lit(" — "), "title", F.when(F.col("act") != "", F.concat(F.lit(" ("), "act", F.lit(")"))).otherwise(""), F.lit("**"))
     content = F.regexp_replace("content", r"^\s+|\s+$", "")
     authority = F.when(F.size("citations") > 0, F.concat(F.lit("*Key authority:* "), F.array_join(F.slice("citations", 1, 2), "; ")))
     block = content if terse else F.concat_ws("\n\n", label, content, authority)
     g = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("b")))), lambda x: x["b"]), " " if terse else "\n\n").alias("_b"))
-    intro = F.when(F.col("_n") == 1, "**Primary provision** matching your query:").otherwise("**Primary provisions** matching your query:")
-    return g.select("query_id", (F.col("_b") if terse else F.concat_ws("\n\n", intro, "_b", F.lit(DISCLAIMER))).alias("answer"))
+    begin = F.lit(intro) if intro else F.when(F.col("_n") == 1, "**Primary provision** matching your query:").otherwise("**Primary provisions** matching your query:")
+    return g.select("query_id", (F.trim("_b") if terse else F.concat_ws("\n\n", begin, "_b", F.lit(DISCLAIMER))).alias("answer"))
+
+
+def answer_overview(found: DataFrame) -> DataFrame:
+    """(query_id, answer): the act of most provisions (then the first seen) with their titles, and the numbers of those of other acts."""
+    act = F.when(F.trim("act") != "", F.trim("act")).otherwise("Indian legal corpus")
+    line = F.struct("place", F.concat(F.lit("- **"), _unit(F.col("unit")), F.lit(" "), "number", F.lit("** — "), F.when(F.trim("title") != "", F.trim("title")).otherwise("Provision")).alias("bullet"), F.concat(_unit(F.col("unit")), F.lit(" "), "number").alias("ref"))
+    acts = found.groupBy("query_id", act.alias("_act")).agg(F.count("*").alias("_n"), F.min("place").alias("_first"), F.array_sort(F.collect_list(line)).alias("_lines"))
+    every = acts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("first"), F.col("_act").alias("act"), F.col("_lines").alias("lines")))).alias("_a"))
+    top, rest = F.col("_a")[0], F.array_sort(F.transform(F.slice("_a", F.lit(2), F.greatest(F.size("_a") - 1, F.lit(0))), lambda a: F.struct(a["first"].alias("first"), F.concat(F.lit("- "), a["act"], F.lit(": "), F.array_join(a["lines"]["ref"], ", ")).alias("text"))))
+    parts = [F.array(F.lit("**Primary legal source matching your query:**"), F.concat(F.lit("### "), top["act"]), F.lit("Major areas covered (grounded in the retrieved provisions):")), top["lines"]["bullet"],
+             F.when(F.size(rest) > 0, F.concat(F.array(F.lit(""), F.lit("**Related provisions in other Acts:**")), rest["text"])).otherwise(F.array().cast("array<string>")), F.array(F.lit(OVERVIEW_CLOSE))]
+    return every.select("query_id", F.array_join(F.concat(*parts), "\n\n").alias("answer"))
 
 
 def chunk_records(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -241,19 +265,70 @@ def validate_benchmark(queries: DataFrame, indexed: DataFrame) -> DataFrame:
     return q.select("query_id").join(held, "query_id", "left").select("query_id", F.when(F.col("_ok").isNull(), "UNKNOWN").when(F.col("_ok"), "OK").otherwise("MISSING").alias("status"))
 
 
-def answer_queries(turns: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, intent, route, chunk_id, final_rank): every turn of every session from follow-up to its retrieved chunks; turns that need none have one row without."""
-    t = u.followup_resolve(turns).select("query_id", F.col("effective").alias("query"))
-    c = t.select("query_id", "query", u.classify_intent(F.col("query"))["intent"].alias("intent")).join(u.extract_entities(t), "query_id")
-    c = c.select("query_id", "query", "intent", u.route(F.col("intent"), F.col("entities"))["route"].alias("route"))
-    asks = c.filter(F.col("route").isin("rag", "deterministic")).select("query_id", "query")
-    found = hybrid_retrieve(asks, chunks, k).select("query_id", "chunk_id", "final_rank")
-    return c.select("query_id", "intent", "route").join(found, "query_id", "left")
+def _provisions(refs: DataFrame, provisions: DataFrame) -> DataFrame:
+    """The provisions (act_key, number) of (query_id, place, act_key, number), with what answers need."""
+    p = provisions.select("act_key", F.upper("number").alias("number"), "title", "content", "citations", u.act_value(F.col("act_key"), "name").alias("act"), u.act_value(F.col("act_key"), "unit").alias("unit"))
+    return refs.select("query_id", "place", "act_key", F.upper("number").alias("number")).join(p, ["act_key", "number"]).select("query_id", "place", "unit", "number", "title", "act", "content", "citations")
 
 
-def benchmark_pipelines(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """(query_id, baseline_chunk, new_chunk): the first hit of vector search alone and of the whole retrieval for the same questions."""
-    base = vector_search(hashed_embedding(queries, "query_id", "query"), hashed_embedding(chunks, "chunk_id", "text"), k, query_id="query_id", chunk_id="chunk_id")
-    new = hybrid_retrieve(queries, chunks, k)
-    return (queries.select("query_id").join(base.filter("rank = 1").select("query_id", F.col("chunk_id").alias("baseline_chunk")), "query_id", "left")
-            .join(new.filter("final_rank = 1").select("query_id", F.col("chunk_id").alias("new_chunk")), "query_id", "left"))
+def answer_queries(turns: DataFrame, chunks: DataFrame, provisions: DataFrame, k: int = 5, *, terse: bool = False, embed: Callable[..., DataFrame] = hashed_embedding, index: TextIndex | None = None) -> DataFrame:
+    """One row for every turn (query_id, session_id, turn, query, subject): query_id, intent, confidence, route, reason, answer and chunk_ids.
+
+    Turns are resolved, classified and routed once, into one table; from there each branch is computed for its own turns
+    and the branches' answers are united. A deterministic turn is answered by the provisions that it names. One that retrieves has
+    its chunks; its answer, without a model, is an overview of the act's sample, or else the provisions that it names or, where
+    it names none, those of its topics. Conversation and unknown turns retrieve nothing. ``provisions`` has act_key, act_order, number, title, content,
+    citations and keywords. ``terse`` gives the provisions' contents alone.
+    """
+    t = u.followup_resolve(turns)
+    subject = F.substr("effective", F.length("query") + len(" regarding ") + 1)
+    note = F.when(F.col("effective") != F.col("query"), F.concat(F.lit(" · follow-up resolved to “"), subject, F.lit("”"))).otherwise("")
+    t = written(t.select("query_id", F.col("effective").alias("query"), note.alias("_note")), "turns")
+    c = t.join(u.extract_entities(t), "query_id").select("query_id", "query", "_note", "entities", u.classify_intent(F.col("query")).alias("_c"))
+    c = c.select("query_id", "query", "_note", "entities", "_c.*", u.route(F.col("_c.intent"), F.col("entities")).alias("_r"))
+    c = written(c.select("query_id", "query", "entities", "intent", "confidence", "_r.route", F.concat("_r.reason", "_note").alias("reason")), "classified")
+    overview = (F.col("route") == "rag") & (F.col("intent") == "legal_overview")
+
+    named = F.array_distinct(F.filter(F.transform(F.filter("entities", lambda e: e["type"] == "ACT"), lambda e: u.resolve_act(e["value"])), lambda k: k.isNotNull()))
+    asks = c.filter(F.col("route").isin("rag", "deterministic") & ~overview).select("query_id", "query", "route", "entities", named.alias("act_keys"))
+    refs = asks.select("query_id", "route", "act_keys", F.posexplode(F.filter("entities", lambda e: e["type"].isin("SECTION", "ARTICLE"))).alias("place", "_e"))
+    refs = refs.select("query_id", "route", "act_keys", "place", F.col("_e.value").alias("ref"))
+    first = refs.groupBy("query_id", "ref").agg(F.min("place").alias("place"))
+    looked = u.statute_lookup(refs.dropDuplicates(["query_id", "ref"]).select("query_id", "ref", "act_keys"), provisions).filter("act_key is not null").join(first, ["query_id", "ref"])
+    looked = written(_provisions(looked, provisions), "looked-up")
+    none = asks.filter("route = 'rag'").join(looked.select("query_id").distinct(), "query_id", "left_anti")
+    topical = written(_provisions(u.topic_fallback_lookup(none.select("query_id", "query", "act_keys"), provisions), provisions), "topical")
+
+    retrieved = hybrid_retrieve(c.filter("route = 'rag'").withColumn("_overview", overview), chunks, k, overview="_overview", embed=embed, index=index)
+    retrieved = written(retrieved.select("query_id", "chunk_id", "final_rank"), "retrieved")
+    sampled = retrieved.join(c.filter(overview).select("query_id"), "query_id", "left_semi").join(chunks.select("chunk_id", "act_key", "number", F.col("source").alias("title"), F.col("text").alias("content")), "chunk_id")
+    sampled = sampled.select("query_id", F.col("final_rank").alias("place"), u.act_value(F.col("act_key"), "unit").alias("unit"), F.coalesce("number", F.lit("")).alias("number"), "title", F.coalesce(u.act_value(F.col("act_key"), "name"), F.lit("")).alias("act"), "content", F.array().cast("array<string>").alias("citations"))
+
+    rag = asks.filter("route = 'rag'").select("query_id")
+    branches = [answer_deterministic(looked.join(rag, "query_id", "left_anti"), terse), answer_deterministic(looked.join(rag, "query_id", "left_semi").unionByName(topical), terse, RAG_INTRO),
+                answer_deterministic(sampled, True) if terse else answer_overview(sampled)]
+    answers = reduce(DataFrame.unionByName, branches)
+    without = F.when(F.lit(terse), NOTHING).when(F.col("route").isin("conversation", "unknown"), F.when(F.col("route") == "unknown", CLARIFY).when(F.lower(F.trim("query")).rlike("^(thank|thanx|thx|ty|cheers|appreciate)"), THANKS).otherwise(GREETING)).when(overview, NO_ACT).when(F.col("route") == "deterministic", NO_PROVISION).otherwise(NO_MATCH)
+    held = retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("_ids"))
+    out = c.join(answers, "query_id", "left").join(held, "query_id", "left")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    return out.select("query_id", "intent", "confidence", "route", "reason", F.coalesce("answer", without).alias("answer"), F.coalesce("_ids", F.array().cast(f"array<{kind}>")).alias("chunk_ids"))
+
+
+def benchmark_pipelines(queries: DataFrame, chunks: DataFrame, k: int = 4, *, embed: Callable[..., DataFrame] = hashed_embedding) -> DataFrame:
+    """(query_id, baseline_source, baseline_overlap, baseline_match, new_source, new_overlap, new_match, delta_overlap) of questions (query_id, query, expected).
+
+    The baseline is vector search alone, the new way the whole retrieval; each is judged by the share of the expected text's
+    tokens in its ``k`` texts, and by whether the first one's source is a provision that the text cites.
+    """
+    active = active_only(chunks) if "superseded" in chunks.columns else chunks
+    base = vector_search(embed(queries, "query_id", "query"), active.select("chunk_id", "embedding") if "embedding" in chunks.columns else embed(active, "chunk_id", "text"), k, query_id="query_id", chunk_id="chunk_id")
+    new = hybrid_retrieve(queries.select("query_id", "query"), chunks, k, embed=embed)
+    hits = written(base.select("query_id", "chunk_id", "rank", F.lit("baseline").alias("way")).unionByName(new.select("query_id", "chunk_id", F.col("final_rank").alias("rank"), F.lit("new").alias("way"))), "benchmark-hits")
+    texts = hits.join(active.select("chunk_id", "source", "text"), "chunk_id").groupBy("query_id", "way").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "source"))).alias("_h"))
+    one = lambda way, name: F.max(F.when(F.col("way") == way, F.col(name))).alias(f"_{way}_{name}")
+    both = texts.select("query_id", "way", F.array_join("_h.text", "\n").alias("text"), F.get("_h.source", F.lit(0)).alias("source")).groupBy("query_id").agg(*(one(w, c) for w in ("baseline", "new") for c in ("text", "source")))
+    q = queries.select("query_id", "expected").join(both, "query_id", "left")
+    out = q.select("query_id", *(x for w in ("baseline", "new") for x in (
+        F.coalesce(f"_{w}_source", F.lit("")).alias(f"{w}_source"), retrieval_overlap(F.coalesce(f"_{w}_text", F.lit("")), F.col("expected")).alias(f"{w}_overlap"), F.coalesce(source_name_match(F.col(f"_{w}_source"), F.col("expected")), F.lit(False)).alias(f"{w}_match"))))
+    return out.withColumn("delta_overlap", F.round(F.col("new_overlap") - F.col("baseline_overlap"), 4))

@@ -110,3 +110,14 @@ def ingest_corpus(provisions: DataFrame, held: DataFrame, chunk: Callable[[DataF
     """``chunk`` of all provisions (act_key, source, text) where ``held`` (act_key) lacks one of their acts or ``force`` says so; else no rows."""
     stale = force or not provisions.select("act_key").distinct().join(held.select("act_key").distinct(), "act_key", "left_anti").isEmpty()
     return chunk(provisions if stale else provisions.limit(0))
+
+
+def merge_chunks(held: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a fresh cut of a text changes: the ``new`` chunks once each, with the embedding of the held chunk of the same id and a status (kept or added), and the ids of held chunks that are gone.
+
+    An id says source, place and text, so a chunk of the same id needs no new embedding.
+    """
+    once = new.dropDuplicates(["chunk_id"])
+    old = held.select("chunk_id", "embedding", F.lit(True).alias("_held")).dropDuplicates(["chunk_id"])
+    kept = once.join(old, "chunk_id", "left").withColumn("status", F.when(F.col("_held"), "kept").otherwise("added")).drop("_held")
+    return kept, old.join(once, "chunk_id", "left_anti").select("chunk_id")

@@ -90,13 +90,17 @@ def vector_rerank_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def benchmark_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.benchmark_pipelines(asks(spark, sf_dir), library(spark, sf_dir))
+    expected = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("expected"))
+    return answer.benchmark_pipelines(asks(spark, sf_dir).join(expected, "query_id"), library(spark, sf_dir))
 
 
 @registered()
 def answer_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations with its answer; the provisions are the documents' least for each act and number."""
     talk = asking.talk(spark, sf_dir).withColumn("query_id", F.concat_ws("/", "session_id", "turn"))
-    return answer.answer_queries(talk, library(spark, sf_dir))
+    whole = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Provision "), "doc_id").alias("title"), F.col("text").alias("content"), F.array(F.col("source")).alias("citations"))
+    provisions = asking.provisions(spark, sf_dir).join(whole, "doc_id").drop("doc_id")
+    return answer.answer_queries(talk, library(spark, sf_dir), provisions)
 
 
 _NUMBER = "regexp_replace(number, '[^0-9]', '', 'g')"
