@@ -13,7 +13,7 @@ from docquarry.operators import understand as u
 from docquarry.operators.stored import VersionedTable
 from docquarry.plans import asking
 from docquarry.plans.asking import _FOLLOWS, _PROVISIONS, _TALK, _field
-from docquarry.plans.queries import _EVENTS, _HEADING, registered, table
+from docquarry.plans.queries import _EVENTS, _HEADING, ORACLE_SQL, registered, table
 from docquarry.sources import tables
 from docquarry.streaming import events as streams
 
@@ -204,11 +204,20 @@ def stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@registered(f"WITH {_EVENTS}, w AS (SELECT time_bucket(INTERVAL 6 HOURS, created_at, TIMESTAMP '1970-01-01') - to_hours(6 * unnest([0, 1])) AS bucket, route FROM e) SELECT bucket, route, count(*) AS n FROM w GROUP BY ALL")
+@registered(ORACLE_SQL["latency_summary"])
 def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantiles are approximate and so left out of what SQL is held against."""
-    out = streams.replay(spark, f"{sf_dir}/events.parquet", lambda e: streams.stream_latency(_stamped(e)), "complete")
-    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "route", "n")
+    """The events in four batches of a stream; what it says last equals the summary of all."""
+    folder, name = f"{_folder(spark)}/events", "spark.sql.streaming.stateStore.providerClass"
+    table(spark, sf_dir, "events").repartitionByRange(4, "ts").write.parquet(folder)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streams.replay(spark, folder, lambda e: streams.stream_latency(_stamped(e)), "update", per_batch=1)
+    finally:
+        spark.conf.set(name, before)
+    figures = [c for c in out.columns if c not in ("route", "seen", "batch")]
+    newest = out.groupBy("route").agg(F.max_by(F.struct(*figures), "seen").alias("_x")).select("route", "_x.*")
+    return newest.select("route", "count", *(F.round(c, 3).alias(c) for c in figures if c != "count"))
 
 
 @registered(f"WITH {_TALK}, l AS (SELECT *, last_value(CASE WHEN subject <> '' THEN subject END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS before FROM w) SELECT session_id, turn, CASE WHEN {_FOLLOWS} AND before IS NOT NULL THEN query || ' regarding ' || before ELSE query END AS effective FROM l")

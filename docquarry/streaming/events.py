@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquarry.functions.scratch import shared_folder
@@ -15,10 +16,10 @@ from docquarry.operators.stored import VersionedTable
 from docquarry.operators.understand import is_followup
 
 
-def replay(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], mode: str = "append", *, job: Callable[[DataFrame], None] | None = None) -> DataFrame | None:
-    """Reads the Parquet folder or file ``path`` as a stream, shaped by ``shape``, until nothing is left. What it writes comes back (in ``complete`` mode the last state of all rows); with a ``job``, that one consumes the stream instead."""
+def replay(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFrame], mode: str = "append", *, job: Callable[[DataFrame], None] | None = None, per_batch: int | None = None) -> DataFrame | None:
+    """Reads the Parquet folder or file ``path`` as a stream, shaped by ``shape``, until nothing is left. What it writes comes back (in ``complete`` mode the last state of all rows, in ``update`` mode the rows of all batches); with a ``job``, that one consumes the stream instead."""
     folder = f"{shared_folder(spark)}/docquarry-stream-{uuid.uuid4().hex}"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.options(**({"maxFilesPerTrigger": per_batch} if per_batch else {})).schema(spark.read.parquet(path).schema)
     parent, _, name = path.rpartition("/")
     out = shape(reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(parent))
     if job:
@@ -28,6 +29,8 @@ def replay(spark: SparkSession, path: str, shape: Callable[[DataFrame], DataFram
     write = out.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
     if mode == "append":
         write.format("parquet").start(sink).awaitTermination()
+    elif mode == "update":
+        write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start().awaitTermination()
     else:
         write.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(sink)).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
@@ -48,10 +51,41 @@ def stream_volume(events: DataFrame, bucket: str = "6 hours", late: str = "1 hou
     return events.withWatermark("created_at", late).groupBy(F.window("created_at", bucket).alias("_w"), F.coalesce("route", F.lit("unknown")).alias("route")).agg(F.count("*").alias("n")).select(F.col("_w.start").alias("bucket"), "route", "n")
 
 
-def stream_latency(events: DataFrame, span: str = "12 hours", slide: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """(bucket, route, n, p50, p95): latency quantiles over sliding windows. A span of time takes the place of a number of samples."""
-    g = events.withWatermark("created_at", late).groupBy(F.window("created_at", span, slide).alias("_w"), "route")
-    return g.agg(F.count("*").alias("n"), F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), 10_000).alias("_q")).select(F.col("_w.start").alias("bucket"), "route", "n", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p95"))
+class _Newest(StatefulProcessor):
+    """Keeps the newest samples of a key, a bounded number, and tells their statistics after each batch."""
+
+    def __init__(self, last: int, quantiles: tuple[float, ...]):
+        self.last, self.quantiles = last, quantiles
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.samples = handle.getListState("samples", "created_at timestamp, id long, value double")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[["created_at", "id", "value"]]
+        held = pd.DataFrame(list(self.samples.get()) if self.samples.exists() else [], columns=new.columns)
+        seen = (self.seen.get()[0] if self.seen.exists() else 0) + len(new)
+        kept = (pd.concat([held, new]) if len(held) else new).sort_values(["created_at", "id"]).tail(self.last)
+        self.samples.put([(t.to_pydatetime(), int(i), float(v)) for t, i, v in kept.itertuples(index=False)])
+        self.seen.update((seen,))
+        order = kept.sort_values(["value", "id"])["value"].to_numpy()
+        n = len(order)
+        picked = {f"p{int(q * 100)}": [float(order[min(n - 1, int(q * n))])] for q in self.quantiles}
+        yield pd.DataFrame({"route": [key[0]], "seen": [seen], "count": [n], "mean": [float(order.mean())], **picked, "max": [float(order[-1])]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latency(events: DataFrame, last: int = 10_000, quantiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(route, seen, count, mean, quantiles, max) of each route's newest ``last`` samples by time and id, after each batch that has some.
+
+    The state of a route is those samples, whatever their age. ``seen`` counts all its samples so far, so the row of most is the
+    newest. Needs the RocksDB state store; quantiles are the elements at ``min(n - 1, int(q * n))`` in order, unrounded.
+    """
+    e = events.select("route", "created_at", "id", F.col("latency_ms").cast("double").alias("value")).filter("value is not null")
+    kinds = ", ".join(f"p{int(q * 100)} double" for q in quantiles)
+    return e.groupBy("route").transformWithStateInPandas(_Newest(last, quantiles), f"route string, seen long, count long, mean double, {kinds}, max double", "Update", "None")
 
 
 def stream_followups(turns: DataFrame, window: int = 6, idle_ms: int | None = 3_600_000) -> DataFrame:
