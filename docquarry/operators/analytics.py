@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 #: range -> (window, bucket) in seconds
 RANGES = {"1h": (3600, 300), "24h": (86_400, 3600), "7d": (604_800, 21_600), "30d": (2_592_000, 86_400)}
 
@@ -131,7 +136,8 @@ def retention_sweep(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame
     def removed(before: DataFrame, after: DataFrame) -> int:
         try:
             return before.count() - after.count()
-        except Exception:  # one table's failure doesn't stop the sweep of the others
+        except PySparkException:  # one table's failure doesn't stop the sweep of the others
+            log.exception("a table could not be counted")
             return -1
 
     return spark.createDataFrame([(name, removed(*both)) for name, both in tables.items()], "swept string, removed long")
@@ -140,3 +146,17 @@ def retention_sweep(tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame
 def ingest_by_ext(files: DataFrame, name: str) -> DataFrame:
     """(ext, n): files by the extension of their name, lower-cased; none is the empty one."""
     return files.groupBy(F.regexp_extract(F.lower(name), r"\.([a-z0-9]+)(?:[?#].*)?$", 1).alias("ext")).agg(F.count("*").alias("n"))
+
+
+EVENT_WIDTHS = {"intent": 64, "route": 32, "domain": 64, "error_reason": 255}
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events as they are stored: the query cut to a preview, and the named texts to their columns' widths."""
+    cut = {c: F.substring(c, 1, n) for c, n in EVENT_WIDTHS.items() if c in events.columns}
+    return events.withColumns(cut | {"query_preview": preview(F.col("query"))}).drop("query")
+
+
+def append_query_events(events: DataFrame, path: str) -> None:
+    """Adds events to the table at ``path``, by the day on which they were created, so that what is older than a retention goes by folders."""
+    event_rows(events).withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)

@@ -48,9 +48,9 @@ def versions_for(chunks: DataFrame) -> DataFrame:
 
 
 def latest_version(chunks: DataFrame) -> DataFrame:
-    """Per source: the highest version and the version id of its active chunks."""
-    active = ~F.coalesce(F.col("superseded"), F.lit(False))
-    return chunks.groupBy("source").agg(F.max("version").alias("version"), F.max_by("version_id", F.when(active, F.col("version"))).alias("active_version_id"))
+    """Per source: the highest version, and the version id of its active chunks, that of the highest version (then the greatest id) among several."""
+    active = ~F.coalesce(F.col("superseded"), F.lit(False)) & F.col("version_id").isNotNull()
+    return chunks.groupBy("source").agg(F.max("version").alias("version"), F.max(F.when(active, F.struct("version", "version_id")))["version_id"].alias("active_version_id"))
 
 
 def supersede_source(chunks: DataFrame, source: str) -> DataFrame:

@@ -87,6 +87,13 @@ def compare_runs(a: DataFrame, b: DataFrame, metric: str = "f1") -> DataFrame:
     return j.withColumn("verdict", F.when(F.col("delta").isNull(), "missing").when(F.abs("delta") < FLAT, "flat").when(F.col("delta") > 0, "improved").otherwise("regressed"))
 
 
+def mean_deltas(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = ("f1",)) -> DataFrame:
+    """(metric, mean_a, mean_b, delta): each metric's mean over the rows of either run, and b - a; 4 digits."""
+    means = [r.agg(*(F.avg(m).alias(m) for m in metrics)) for r in (a, b)]
+    long = [r.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(n)) for m in metrics))).alias("_x")).select("_x.*") for r, n in zip(means, ("_a", "_b"), strict=True)]
+    return long[0].join(long[1], "metric").select("metric", F.round("_a", 4).alias("mean_a"), F.round("_b", 4).alias("mean_b"), F.round(F.col("_b") - F.col("_a"), 4).alias("delta"))
+
+
 def question_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """The trimmed questions of either run, once each."""
     return a.select(F.trim("question").alias("question")).unionAll(b.select(F.trim("question").alias("question"))).distinct()

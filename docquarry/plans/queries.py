@@ -7,12 +7,14 @@ lineitem the jobs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.scratch import shared_folder
 from docquarry.operators import analytics, corpus, evaluate, fusion, lexical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,9 +167,13 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.version_hash(F.col("text")).alias("version_id"), tx.chunk_id(F.col("source"), F.lit(0), F.col("text")).alias("chunk_id"))
 
 
-@registered(r"SELECT doc_id, regexp_replace('key lsv2_' || md5(text) || ' end', 'ls(?:__|v2_)[A-Za-z0-9_\-]{20,}', '<redacted>', 'g') AS line FROM documents")
+@registered(r"SELECT doc_id, md5(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, length(text) // 2) || ' lsv2_' || md5(text) || ' ' || substr(text, length(text) // 2 + 1) END, 'ls(?:__|v2_)[A-Za-z0-9_\-]{20,}', '<redacted>', 'g')) AS text_md5 FROM documents")
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_secrets(F.concat(F.lit("key lsv2_"), F.md5(F.col("text").cast("binary")), F.lit(" end"))).alias("line"))
+    """Whole texts, two of three with a key in their middle."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    keyed = F.concat(F.substr("text", F.lit(1), half), F.lit(" lsv2_"), F.md5(F.col("text").cast("binary")), F.lit(" "), F.substr("text", half + 1))
+    text = tx.redact_secrets(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(keyed))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("text_md5"))
 
 
 @registered("SELECT page_id, (CASE WHEN regexp_replace(url, '[^0-9]', '', 'g') = '' THEN 1 ELSE 0 END)::INT AS no_digits, coalesce(TRY_CAST(regexp_replace(url, '[^0-9]', '', 'g') AS BIGINT), 0) AS number, regexp_replace(url, '[0-9]', '', 'g') AS rest FROM pages")
@@ -175,10 +181,12 @@ def natural_number_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.natural_number_key(F.col("url")).alias("k")).select("page_id", "k.*")
 
 
-@registered("SELECT event_id, 'query' || '.route=' || event_type || '.user=' || user_id AS metric FROM events")
+@registered("SELECT event_id, 'query' || '.route=' || event_type || '.user=' || user_id AS metric, 'query' AS name, event_type AS route, user_id::VARCHAR AS user FROM events")
 def metric_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", tx.metric_key(F.lit("query"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("route"), F.col("event_type"), F.lit("none"), F.lit(""))).alias("metric"))
+    """Keys and, by the inverse, what they were made of."""
+    e = table(spark, sf_dir, "events").select("event_id", tx.metric_key(F.lit("query"), F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("route"), F.col("event_type"), F.lit("none"), F.lit(""))).alias("metric"))
+    name, tags = tx.split_metric_key(F.col("metric"))
+    return e.select("event_id", "metric", name.alias("name"), tags["route"].alias("route"), tags["user"].alias("user"))
 
 
 @registered("SELECT event_id, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS bucket FROM events")
@@ -235,10 +243,11 @@ def active_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.active_only(chunks(spark, sf_dir)).select("chunk_id", "source")
 
 
-@registered(f"WITH {_CHUNKS} SELECT source, max(version) AS version FROM c GROUP BY source")
+@registered(f"""WITH {_CHUNKS}, v AS (SELECT source, max(version) AS version FROM c GROUP BY source),
+    a AS (SELECT source, version_id, row_number() OVER (PARTITION BY source ORDER BY version DESC, version_id DESC) AS k FROM c WHERE NOT coalesce(superseded, false) AND version_id IS NOT NULL QUALIFY k = 1)
+    SELECT source, version, version_id AS active_version_id FROM v LEFT JOIN a USING (source)""")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of several active version ids of the highest version is meant is open in these tables, so it isn't compared."""
-    return corpus.latest_version(chunks(spark, sf_dir)).select("source", "version")
+    return corpus.latest_version(chunks(spark, sf_dir))
 
 
 @registered(f"WITH {_CHUNKS} SELECT count(DISTINCT source) AS sources, count(*) AS chunks_total, count(*) FILTER (WHERE NOT coalesce(superseded, false)) AS chunks_active FROM c")
@@ -383,9 +392,12 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare_runs(*_runs(spark, sf_dir)).select("question", "delta", "verdict")
 
 
-@registered(f"WITH {_COMPARED} SELECT verdict, count(*) AS n FROM z GROUP BY verdict")
+@registered(f"WITH {_COMPARED} SELECT verdict, count(*) AS n, NULL::DOUBLE AS mean_delta FROM z GROUP BY verdict UNION ALL SELECT 'mean f1', NULL, round((SELECT avg(f1) FROM rb) - (SELECT avg(f1) FROM ra), 4)")
 def compare_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.compare_runs(*_runs(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
+    """How many questions went which way, and how the metric's mean moved."""
+    a, b = _runs(spark, sf_dir)
+    counts = evaluate.compare_runs(a, b).groupBy("verdict").agg(F.count("*").alias("n")).withColumn("mean_delta", F.lit(None).cast("double"))
+    return counts.unionByName(evaluate.mean_deltas(a, b).select(F.concat(F.lit("mean "), "metric").alias("verdict"), F.lit(None).cast("long").alias("n"), F.col("delta").alias("mean_delta")))
 
 
 @registered("SELECT count(*) AS total_rows, count(*) FILTER (WHERE quality = 1) AS scored_rows, count(*) FILTER (WHERE quality <> 1) AS failed_rows, round(avg(n_chars) FILTER (WHERE quality = 1), 4) AS n_chars_mean, min(n_chars) FILTER (WHERE quality = 1) AS n_chars_min, max(n_chars) FILTER (WHERE quality = 1) AS n_chars_max FROM documents JOIN labels USING (doc_id)")
@@ -438,9 +450,15 @@ def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.keyset_page(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), 50)
 
 
-@registered("SELECT doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '…' ELSE text END AS preview FROM documents")
+@registered("""SELECT doc_id AS id, substr(source || lang, 1, 64) AS intent, substr(repeat(source, 20), 1, 32) AS route, substr(repeat(lang, 50), 1, 64) AS domain, substr(text, 1, 255) AS error_reason,
+    CASE WHEN length(text) > 160 THEN substr(text, 1, 160) || '…' ELSE text END AS query_preview, DATE '2024-01-01' + (doc_id % 5)::INT AS day FROM documents""")
 def append_query_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", analytics.preview(F.col("text")).alias("preview"))
+    """Documents as events of five days, appended in two parts and read back."""
+    i, path = F.col("doc_id"), f"{shared_folder(spark)}/docquarry-events-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "documents").select(i.alias("id"), F.concat("source", "lang").alias("intent"), F.repeat("source", 20).alias("route"), F.repeat("lang", 50).alias("domain"), F.col("text").alias("error_reason"), F.col("text").alias("query"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 5).cast("int")).cast("timestamp").alias("created_at"))
+    for part in (0, 1):
+        analytics.append_query_events(e.filter(F.col("id") % 2 == part), path)
+    return spark.read.parquet(path).drop("created_at")
 
 
 _TURNS = "t AS (SELECT conv_id AS session_id, turn, CASE WHEN turn % 4 = 0 THEN 'subject ' || turn ELSE '' END AS subject FROM conversations)"
