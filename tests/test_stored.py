@@ -266,3 +266,21 @@ def test_hits_stay_within_the_named_acts(spark):
     hits = hybrid_retrieve(spark, "/root/testdata/sf0.001").collect()
     assert any(acts.values()) and hits
     assert not [h for h in hits if acts[h.query_id] and key[h.chunk_id] not in acts[h.query_id]]
+
+
+def test_stream_keeps_the_newest_samples(spark, tmp_path):
+    """A ring of three samples a route, over three batches, of which the second brings an older one late."""
+    from docquarry.streaming import events as streams
+
+    batches = [[(i, "a", float(i), f"2024-01-01 00:00:{i:02}") for i in range(4)], [(9, "a", 99.0, "2023-01-01 00:00:00"), (10, "b", 7.0, "2024-01-01 00:00:00"), (11, "a", None, "2024-01-02 00:00:00")], [(12, "a", 0.5, "2024-01-01 00:01:00")]]
+    rows = spark.createDataFrame([(*r, n) for n, b in enumerate(batches) for r in b], "id long, route string, latency_ms double, created_at string, n int")
+    for n in range(3):
+        rows.filter(F.col("n") == n).select("id", "route", "latency_ms", F.col("created_at").cast("timestamp").alias("created_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = streams.replay(spark, f"{tmp_path}/e", lambda e: streams.stream_latency(e, last=3, quantiles=(0.5,)), "update", per_batch=1)
+    finally:
+        spark.conf.set(name, before)
+    assert {(r.route, r.seen, r["count"], r.mean, r.p50, r.max) for r in out.collect()} == {("a", 4, 3, 2.0, 2.0, 3.0), ("a", 5, 3, 2.0, 2.0, 3.0), ("b", 1, 1, 7.0, 7.0, 7.0), ("a", 6, 3, 5.5 / 3, 2.0, 3.0)}
