@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.operators import analytics, corpus, evaluate, fusion, lexical
+from docquarry.operators import analytics, corpus, evaluate, fusion, lexical, sessions
 from docquarry.plans.queries import _BENCH, _BM25, _CHUNKS, _EVENTS, _PAIRS, _POST, _RUNS, _SCORED, _TURNS, _VECTOR, _answer_pairs, _runs, _turns, as_of, chunks, query_events, questions, registered, table
 
 # ── Events and sessions ──
@@ -63,6 +63,24 @@ def memory_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.memory_occupancy(_turns(spark, sf_dir))
 
 
+def _accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as accesses to sessions of a user and day; views read, all else records."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.concat_ws("/", "user_id", F.to_date("ts").cast("string")).alias("session_id"), (F.col("event_type") == "view").alias("is_read"))
+
+
+@registered()
+def session_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each read finds in a memory of 500 sessions that drops the one least recently used, reads included."""
+    return sessions.session_memory(_accesses(spark, sf_dir))[0]
+
+
+@registered()
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that memory holds in the end."""
+    return sessions.session_memory(_accesses(spark, sf_dir))[1]
+
+
 @registered(r"SELECT regexp_extract(lower(url), '\.([a-z0-9]+)(?:[?#].*)?$', 1) AS ext, count(*) AS n FROM pages GROUP BY 1")
 def ingest_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.ingest_by_ext(table(spark, sf_dir, "pages"), "url")
