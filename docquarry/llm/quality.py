@@ -3,9 +3,10 @@
 Each document becomes a vector of transformed statistics. For every language and source, location and scatter are
 estimated by the minimum covariance determinant: from several starts, concentration steps re-estimate both from the half
 of the group with the least Mahalanobis distances until the determinant falls no more, and the least one found counts.
-Copies of junk may so make up nearly half of a group. Documents far from their group's estimate are rejected. A step is
-one aggregation by group, start and distance bin, so no group is gathered in one place and all documents count; groups
-too small for their own estimate share that of their language, or of all.
+Copies of junk may so make up nearly half of a group. The same is done for every language and for all documents, and a
+group's estimate is mixed with its language's by its size, so that small groups need no rule of their own. Documents far
+from their group's mixed estimate are rejected. A step is one aggregation by group, start and distance bin, so no group
+is gathered in one place and all documents count.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import Words, cut, sliced, text_key
@@ -153,28 +154,54 @@ def _concentrate(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_pool": [group["_pool"].iloc[0]], "_start": [group["_start"].iloc[0]], "m": [mean.tolist()], "p": [_packed(np.linalg.inv(cov))], "det": [det], "moving": [det < was - FALL]})
 
 
-def judge(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def _combined(rows: DataFrame, whole: Row, prior: float) -> DataFrame:
+    """From (_group, _n, _of, g, l), g and l being the estimates of a group and its language (null if they have no documents): (_group, m, p).
+
+    A language's estimate is mixed with that of all, which counts as ``prior`` documents, and a group's with that in the same way.
+    """
+    d = len(FEATURES)
+    upper = np.triu_indices(d)
+
+    def opened(e: dict) -> tuple[np.ndarray, np.ndarray]:
+        inverse = np.zeros((d, d))
+        inverse[upper] = e["p"]
+        return np.array(e["m"]), np.linalg.inv(inverse + np.triu(inverse, 1).T) * e["scale"]
+
+    top = opened(whole.asDict())
+
+    def mixed(n: int, own: dict | None, wide: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if own is None or not n:
+            return wide
+        (m, c), (wm, wc), share = opened(own), wide, n / (n + prior)
+        apart = m - wm
+        return share * m + (1 - share) * wm, share * c + (1 - share) * wc + share * (1 - share) * np.outer(apart, apart)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                m, c = mixed(r["_n"], r["g"], mixed(r["_of"], r["l"], top))
+                out.append({"_group": r["_group"], "m": m.tolist(), "p": _packed(np.linalg.inv(c))})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_group", pa.string()), ("m", pa.list_(pa.float64())), ("p", pa.list_(pa.float64()))]))
+
+    return rows.mapInArrow(run, "_group string, m array<double>, p array<double>")
+
+
+def judge(docs: DataFrame, *, prior: float = 25.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(_id, _th, the statistics, base_failed, distance, kept) for every row of ``docs``.
 
     ``kept`` is false where the base rule fails or the squared distance exceeds that of 1 in 1,000 normal documents.
-    Estimates rest on all documents that pass the base rule. Null languages or sources are groups of their own; a group
-    of fewer than ``least`` such documents takes its language's estimate, a language of fewer that of all. If there are
-    none at all, nothing but the base rule rejects. Equal rows get equal results. No rows: none come out.
+    Estimates rest on all documents that pass the base rule. Null languages or sources are groups of their own. A group's
+    estimate is mixed with its language's, which counts as ``prior`` documents, and that with the estimate of all. If
+    no document passes, nothing but the base rule rejects. Equal rows get equal results. No rows: none come out.
     """
     rows = cut(document_statistics(docs, doc_id=doc_id, text=text, lang=lang, source=source), "statistics")
     sizes = rows.groupBy("_lang", "_group").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("_n"))
-    sizes = cut(sizes.withColumn("_of", F.sum("_n").over(Window.partitionBy("_lang")))
-                .select("_lang", "_group", F.when(F.col("_n") >= least, F.concat(F.lit("group "), "_group")).when(F.col("_of") >= least, F.concat(F.lit("language "), "_lang")).otherwise("all").alias("_pool")), "pools")
-    rows = rows.join(sizes.select("_group", "_pool"), "_group")
-    xs = [f"x{i}" for i in range(len(FEATURES))]
-    clean = rows.filter("not base_failed").select("_pool", "_lang", *xs)
-    # A pool of a language, or of all, rests on every document of it, those of large groups included.
-    languages = sizes.filter("_pool like 'language %'").select(F.col("_lang").alias("_of"), F.col("_pool").alias("_wide")).distinct()
-    every = sizes.filter("_pool = 'all'").select(F.col("_pool").alias("_wide")).distinct()
-    clean = (clean.filter("_pool like 'group %'").select("_pool", *xs)
-             .unionAll(clean.join(languages, F.col("_lang") == F.col("_of")).select(F.col("_wide").alias("_pool"), *xs))
-             .unionAll(clean.withColumn("_all", F.lit("all")).join(every, F.col("_all") == F.col("_wide")).select(F.col("_wide").alias("_pool"), *xs)))
+    sizes = cut(sizes.withColumn("_of", F.sum("_n").over(Window.partitionBy("_lang"))), "sizes")
     d = len(FEATURES)
+    xs = [f"x{i}" for i in range(d)]
+    of_group, of_language = F.concat(F.lit("group "), "_group"), F.concat(F.lit("language "), "_lang")
+    clean = rows.filter("not base_failed").select(F.explode(F.array(of_group, of_language, F.lit("all"))).alias("_pool"), *xs)
     bins = clean.select("_pool", F.posexplode(F.array(*(F.floor(64 * F.col(f"x{i}")) for i in range(d)))).alias("_f", "_b")).groupBy("_pool", "_f", "_b").agg(F.count("*").alias("_n"))
     params = cut(bins.groupBy("_pool").applyInPandas(_starts, _PARAMS), "mcd")
     sums = [F.count("*").alias("_n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(d)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(d) for j in range(i, d))]
@@ -191,9 +218,15 @@ def judge(docs: DataFrame, *, least: int = 100, doc_id: str = "doc_id", text: st
     halves = clean.join(params, "_pool").select("_pool", _bin(_distance()).alias("_bin")).groupBy("_pool", "_bin").agg(F.count("*").alias("_n"))
     turn = Window.partitionBy("_pool").orderBy("_bin")
     halves = halves.withColumn("_c", F.sum("_n").over(turn)).withColumn("_t", F.sum("_n").over(Window.partitionBy("_pool"))).filter("2 * _c >= _t").groupBy("_pool").agg(F.min("_bin").alias("_bin"))
-    scale = halves.select("_pool", F.greatest(F.lit(1.0), F.expm1((F.col("_bin") + 0.5) / 20) / MEDIAN).alias("_scale"))
+    scale = halves.select("_pool", F.greatest(F.lit(1.0), F.expm1((F.col("_bin") + 0.5) / 20) / MEDIAN).alias("scale"))
     params = cut(params.join(scale, "_pool"), "mcd")
-    out = rows.join(params, "_pool", "left").withColumn("distance", _distance() / F.col("_scale"))
+    whole = params.filter("_pool = 'all'").first()
+    if whole is None:
+        out = rows.withColumn("distance", F.lit(None).cast("double"))
+    else:
+        named = lambda c: params.select(F.col("_pool").alias(f"_pool_{c}"), F.struct("m", "p", "scale").alias(c))
+        both = sizes.join(named("g"), F.col("_pool_g") == of_group, "left").join(named("l"), F.col("_pool_l") == of_language, "left").select("_group", "_n", "_of", "g", "l")
+        out = rows.join(cut(_combined(both, whole, prior), "mixed-mcd"), "_group").withColumn("distance", _distance())
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("_id", "_th", *stats, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= FAR)).alias("kept"))
 

@@ -465,6 +465,68 @@ def test_quality_withstands_copies_of_junk(spark):
     assert Counter(r[0] for r in out if r.kept) == {i: 2 for i in range(400)}
 
 
+def test_quality_of_small_groups(spark):
+    """A junk document alone in its source goes, a plain one stays, and so do those of a language of two."""
+    rnd = random.Random(4)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    alone = [(1000, " ".join(f"##{w}$$" for w in fresh(200)), "en", "junk", "", 0), (1001, " ".join(fresh(200)), "en", "fine", "", 0),
+             (1002, " ".join(f"##{w}$$" for w in fresh(150)), "xx", "a", "", 0), (1003, " ".join(fresh(150)), "xx", "b", "", 0), (1004, " ".join(fresh(150)), None, None, "", 0)]
+    out = quality.judge(spark.createDataFrame(_plain() + alone, SCHEMA)).collect()
+    assert {r[0] for r in out if r.kept} == {*range(400), 1001, 1003, 1004}
+
+
+def test_quality_against_plain_mcd(spark):
+    """One group: the verdicts of exact concentration steps from 300 random starts, away from the limit itself."""
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    odd = [(1000 + i, " ".join(x for j, w in enumerate(fresh(200)) for x in ([w, "|"] if j % 20 < i % 20 else [w])), "en", "a", "", 0) for i in range(60)]
+    df = spark.createDataFrame(_plain() + odd, SCHEMA)
+    x = {r[0]: np.array([r[f"x{k}"] for k in range(5)]) for r in quality.document_statistics(df).collect()}
+    ids, v = list(x), np.stack(list(x.values()))
+    rng, floors, best = np.random.default_rng(1), np.diag(np.square(quality.FLOORS)), (np.inf, None)
+    for _ in range(300):
+        held = v[rng.choice(len(v), 6, replace=False)]
+        for step in range(30):
+            mean, scatter = held.mean(axis=0), np.cov(held.T, bias=True) * quality.CONSISTENT + floors
+            d2 = np.einsum("ni,ij,nj->n", v - mean, np.linalg.inv(scatter), v - mean)
+            held = v[np.argsort(d2)[: len(v) // 2 + 1]]
+        det = np.linalg.slogdet(scatter)[1]
+        if det < best[0]:
+            best = (det, d2 / max(1, np.median(d2) / quality.MEDIAN))
+    verdict = {r[0]: r.kept for r in quality.judge(df).collect()}
+    want = dict(zip(ids, best[1], strict=True))
+    clear = {i: d <= quality.FAR for i, d in want.items() if not quality.FAR / 1.2 < d < quality.FAR * 1.2}
+    assert len(clear) > 440 and 20 < sum(not k for k in clear.values()) < 60
+    assert {i: verdict[i] for i in clear} == clear
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_stages(spark, docs, nothing, tmp_path, empty):
+    """Nulls, repeated rows, clashing columns and empty tables: columns hold, stages only take away, and the last one holds the tokenizer's ids of the mix."""
+    import corpus_pipeline
+
+    d = nothing if empty else docs.unionByName(spark.createDataFrame(_plain(60), docs.schema))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    (bench.limit(0) if empty else bench).write.parquet(f"{tmp_path}/benchmark.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, held, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == d.columns, name
+        if name != "source mix":
+            assert now.exceptAll(held).isEmpty(), name
+        else:
+            assert now.distinct().exceptAll(held.distinct()).isEmpty()
+        held = now
+    out = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path)).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(corpus_pipeline.TOKENIZER)
+    want = Counter((r.doc_id, len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in held.collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == want and (empty or out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
