@@ -1,11 +1,12 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of at least ``least`` words (``WINDOW``, unless told otherwise). They are banded by MinHash over their five-word shingles (4 bands
+Paragraphs are the lines of at least ``least`` words (``PASSAGE``, unless told otherwise). They are banded by MinHash over their five-word shingles (4 bands
 of 2: an exact copy always meets, one of Jaccard 0.8 in 98 of 100 cases); colliding ones are verified by exact Jaccard.
 Repeated passages rarely begin at a line break, though, so texts are cut a second time, by content: among every
-``WINDOW`` consecutive positions the word n-gram of least hash is an anchor (winnowing), and a cut is the ``WINDOW``
-words from an anchor on. Any passage of 2 * WINDOW + 3 words (51) holds the same whole cut wherever it stands. A cut is
-too short for a Jaccard of 0.8 to allow more than a changed end, so it is banded by all of its shingles at once.
+``WINDOW`` consecutive positions the word n-gram of least hash is an anchor (winnowing), and a cut is the ``PASSAGE``
+words from an anchor on. Any run of WINDOW + PASSAGE - 1 words (39) holds the same whole cut wherever it stands; a passage
+of 60 words with one word changed does in 98 of 100 cases, with two in 92. A cut is
+too short for a Jaccard of 0.8 to allow any change, so it is banded by all of its shingles at once.
 Linked paragraphs and equal cuts are clustered by connected components. In each the least document stays; the others
 hold removals.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Words, cut, mix, sliced, sliding_min, text_key
 from docquarry.llm.components import components
 
-WINDOW, GRAM, SHINGLE = 24, 4, 5
+WINDOW, PASSAGE, GRAM, SHINGLE = 24, 16, 4, 5
 BANDS, ROWS = 4, 2
 MAPS = 8  # 64-bit words of a set's bitmap
 _SEEDS = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -56,16 +57,16 @@ def anchors(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def cut_windows(w: Words, h: np.ndarray, shingles: np.ndarray, s_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of all cuts of the texts, and a hash of each; of equal cuts a text lists the first."""
     grams, g_at = w.shingles(GRAM, h)
-    fits = g_at + WINDOW <= len(h)
+    fits = g_at + PASSAGE <= len(h)
     grams, g_at = grams[fits], g_at[fits]
-    fits = w.doc[g_at + WINDOW - 1] == w.doc[g_at]
+    fits = w.doc[g_at + PASSAGE - 1] == w.doc[g_at]
     grams, g_at = grams[fits], g_at[fits]
     if not len(g_at):
         return g_at, grams
     begin = g_at[anchors(grams, w.doc[g_at])]
     index = np.full(len(h), -1)
     index[s_at] = np.arange(len(s_at))
-    held = shingles[index[begin][:, None] + np.arange(WINDOW - SHINGLE + 1)]
+    held = shingles[index[begin][:, None] + np.arange(PASSAGE - SHINGLE + 1)]
     content = mix((held * (mix(np.arange(held.shape[1], dtype=np.uint64) + np.uint64(7)) | np.uint64(1))).sum(axis=1, dtype=np.uint64))
     _, once = np.unique(np.stack((w.doc[begin].astype(np.uint64), content)), axis=1, return_index=True)
     once.sort()
@@ -100,7 +101,7 @@ def _extract(rows: DataFrame, least: int) -> DataFrame:
             d = pa.array(w.doc[begin])
             none = [pa.nulls(len(begin), pa.int64())] * BANDS
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(d), batch.column(1).take(d), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(np.full(len(begin), WINDOW, np.int32)), pa.array(content.view(np.int64)), *none, pa.nulls(len(begin), pa.list_(pa.int32()))], names=names)
+                [batch.column(0).take(d), batch.column(1).take(d), pa.array((begin - w.first[w.doc[begin]]).astype(np.int32)), pa.array(np.full(len(begin), PASSAGE, np.int32)), pa.array(content.view(np.int64)), *none, pa.nulls(len(begin), pa.list_(pa.int32()))], names=names)
             lines, doc, first = cut_lines(texts, least)
             if not lines:
                 continue
@@ -162,12 +163,12 @@ def _rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.select(F.col("content_a").alias("a"), F.col("content_b").alias("b"))
 
 
-def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, least: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, *, threshold: float = 0.8, least: int = PASSAGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, first, n_words, cluster, keep): every paragraph that has a near copy in another document.
 
     ``first`` is its first word's number in the text (words are lower-cased, A-Z), ``n_words`` its length, ``cluster`` its
     component. ``keep`` marks the paragraphs of the least document (by id, then text hash) of each cluster; the rest are
-    the removals. Null texts and texts of fewer than 24 words have no paragraphs. ``least`` is the
+    the removals. Null texts and texts of fewer than 16 words have no paragraphs, unless ``least`` is lower, which is the
     length in words from which a line is a paragraph of its own (5 or more: one shingle). A document's own repeats are listed
     once, and alone they make no cluster. Equal rows give equal rows, and are one document. No rows: none come out.
     """

@@ -352,12 +352,51 @@ def test_lines_against_all_pairs(spark):
     pairs = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     for i, j in pairs:
         root[find(i)] = find(j)
-    out = [r for r in paragraphs.repeated_passages(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.first == 0 and r.n_words > 24]
+    out = [r for r in paragraphs.repeated_passages(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect() if r.first == 0 and r.n_words > paragraphs.PASSAGE]
     label = {r[0]: r.cluster for r in out}
     assert all(find(i) == find(j) for i in label for j in label if label[i] == label[j])
     assert sum(label.get(i, -1) == label.get(j, -2) for i, j in pairs) >= 0.97 * len(pairs)
 
 
+@pytest.mark.parametrize(("n", "changed", "want"), [(60, 1, 0.9), (39, 0, 1.0)])
+def test_passages_inside_lines(spark, n, changed, want):
+    """Passages in the middle of two unlike lines each, with words changed in one of them."""
+    rnd = random.Random(n)
+    fresh = lambda n: [f"w{rnd.randrange(10**5)}" for _ in range(n)]
+    rows, clean = [], range(1000, 1050)
+    for k in range(100):
+        passage = fresh(n)
+        other = list(passage)
+        for at in rnd.sample(range(n), changed):
+            other[at] = f"x{k}"
+        rows += [(2 * k + i, " ".join(fresh(rnd.randrange(10, 120)) + p + fresh(rnd.randrange(10, 120)))) for i, p in enumerate((passage, other))]
+    rows += [(i, " ".join(fresh(150))) for i in clean]
+    label = {}
+    for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        label.setdefault(r[0], set()).add(r.cluster)
+    assert not set(clean) & set(label)
+    assert all(label.get(k, set()) <= label.get(k ^ 1, set()) for k in range(200))
+    assert sum(bool(label.get(2 * k)) for k in range(100)) >= want * 100
+
+
+def test_short_lines(spark):
+    """Lines of 10 to 23 words, exact copies and copies with another last word (6 shingles and more: a Jaccard of 0.8 needs 10)."""
+    rnd = random.Random(21)
+    lines, alike = [], []
+    for k in range(120):
+        w = [f"w{rnd.randrange(10**5)}" for _ in range(rnd.randrange(10, 24))]
+        other = [*w[:-1], "other"] if k % 2 else w
+        lines += [(2 * k, "a head line\n" + " ".join(w)), (2 * k + 1, " ".join(other) + "\nan end")]
+        m = len(w) - 4
+        if k % 2 == 0 or (m - 1) / (m + 1) >= 0.8:
+            alike.append(k)
+    out = paragraphs.repeated_passages(spark.createDataFrame(lines, "doc_id long, text string"), least=10).collect()
+    label = {}
+    for r in out:
+        label.setdefault(r[0], set()).add(r.cluster)
+    assert sum(bool(label.get(2 * k, set()) & label.get(2 * k + 1, set())) for k in alike) >= 0.97 * len(alike)
+
+
 def test_urls(spark):
     urls = [(1, "http://A.Example.org/es/1?x=/y"), (2, "https://example.org/en/12"), (3, "ftp://x.com/fr/#z"), (4, "http://y.com/de/"), (5, None), (6, "no scheme"), (7, "http://spamfarm.net"), (8, "http://b.org"), (8, "http://b.org"), (9, "")]
     pages = spark.createDataFrame([(i, u, "<p>spam farm spam</p><script>x</script>") for i, u in urls], "page_id long, url string, html string")
