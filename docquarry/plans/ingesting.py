@@ -12,8 +12,8 @@ from docquarry.operators import chunking, corpus
 from docquarry.operators import understand as u
 from docquarry.operators.stored import VersionedTable
 from docquarry.plans import asking
-from docquarry.plans.asking import _FOLLOWS, _PROVISIONS, _TALK, _field
-from docquarry.plans.queries import _EVENTS, _HEADING, ORACLE_SQL, registered, table
+from docquarry.plans.asking import _FOLLOWS, _TALK, _WORDS, ACT_KEYS, _field, _quoted
+from docquarry.plans.queries import _EVENTS, _HEADING, _LINES, ORACLE_SQL, registered, table
 from docquarry.sources import tables
 from docquarry.streaming import events as streams
 
@@ -25,22 +25,33 @@ def _folder(spark: SparkSession) -> str:
 # ── Sources ──
 
 
+VOLUME = 200  # provisions of an act to a file
+
+
 def _provision_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("content"), F.concat(F.lit("Title "), F.col("doc_id")).alias("title"))
-    p = asking.provisions(spark, sf_dir).join(d, "doc_id")
-    return p.select("act_key", u.act_value(F.col("act_key"), "name").alias("act"), u.act_value(F.col("act_key"), "unit").alias("unit"), "number", "title", "content", F.array(F.lit("c1")).alias("citations"), "keywords", "doc_id")
+    """Every document as a provision: its whole text under an act, and a number that is its own there."""
+    i, n = F.col("doc_id"), len(ACT_KEYS)
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    act, nth = pick(ACT_KEYS, i % n), F.floor(i / n)
+    return table(spark, sf_dir, "documents").select(
+        act.alias("act_key"), u.act_value(act, "name").alias("act"), u.act_value(act, "unit").alias("unit"), F.concat(nth, F.when(i % 5 == 0, "A").otherwise("")).alias("number"), F.concat(F.lit("Title "), i).alias("title"), F.col("text").alias("content"),
+        F.array(F.lit("c1")).alias("citations"), F.array(pick(_WORDS, i % len(_WORDS)), pick(_WORDS, i * 7 % len(_WORDS))).alias("keywords"), F.floor(nth / VOLUME).alias("volume"), "doc_id")
+
+
+_EVERY = f"""pe AS (SELECT doc_id, text AS content, ({_quoted(ACT_KEYS)})[doc_id % {len(ACT_KEYS)} + 1] AS act_key, (doc_id // {len(ACT_KEYS)}) || CASE WHEN doc_id % 5 = 0 THEN 'A' ELSE '' END AS number, [({_quoted(_WORDS)})[doc_id % {len(_WORDS)} + 1], ({_quoted(_WORDS)})[doc_id * 7 % {len(_WORDS)} + 1]] AS keywords FROM documents)"""
 
 
-@registered(f"WITH {_PROVISIONS} SELECT {_field('act_key', 'name')} AS act, {_field('act_key', 'unit')} AS unit, number, 'Title ' || doc_id AS title FROM p")
+@registered(f"WITH {_EVERY} SELECT {_field('act_key', 'name')} AS act, {_field('act_key', 'unit')} AS unit, number, 'Title ' || doc_id AS title, md5(content) AS content_md5 FROM pe")
 def scan_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All provisions written as files of acts, some hundreds of an act to a file, and read back."""
     folder = _folder(spark)
-    files = _provision_rows(spark, sf_dir).groupBy("act", F.col("act").alias("short_title"), F.lit(1900).alias("year"), "unit").agg(F.collect_list(F.struct("number", "title", "content", "citations", "keywords")).alias("sections"))
-    # One act to a file: a folder for each, so that the reader's multi-line files hold one object.
-    files.withColumn("_act", F.col("act")).repartition("act").write.partitionBy("_act").json(folder)
-    return tables.scan_acts(spark, folder).select("act", "unit", "number", "title")
+    files = _provision_rows(spark, sf_dir).groupBy("act", F.col("act").alias("short_title"), F.lit(1900).alias("year"), "unit", F.col("volume").alias("_volume")).agg(F.collect_list(F.struct("number", "title", "content", "citations", "keywords")).alias("sections"))
+    # A folder for each file, so that the reader's multi-line files hold one object.
+    files.withColumn("_act", F.col("act")).repartition("_act", "_volume").write.partitionBy("_act", "_volume").json(folder)
+    return tables.scan_acts(spark, folder).select("act", "unit", "number", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@registered(f"""WITH {_PROVISIONS}, t AS (SELECT p.*, CASE WHEN {_field('act_key', 'unit')} = 'article' THEN 'Article' ELSE 'Section' END AS un, substr(d.text, 1, 400) AS content FROM pk p JOIN documents d USING (doc_id))
+@registered(f"""WITH {_EVERY}, t AS (SELECT *, CASE WHEN {_field('act_key', 'unit')} = 'article' THEN 'Article' ELSE 'Section' END AS un FROM pe)
     SELECT doc_id, md5(un || ' ' || number || ' — Title ' || doc_id || chr(10) || chr(10) || 'Keywords: ' || array_to_string(keywords, ', ') || chr(10) || chr(10) || content) AS text_md5, {_field('act_key', 'name')} || ' — ' || un || ' ' || number || ': Title ' || doc_id AS source FROM t""")
 def provision_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
@@ -89,15 +100,17 @@ def render_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.render_sheets(_cells(spark, sf_dir))
 
 
-_PAGES = "pg AS (SELECT doc_id // 10 AS source, doc_id AS page_no, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 15) ELSE substr(text, 1, 60) END AS native, CASE WHEN doc_id % 2 = 0 THEN 'ocr ' || doc_id ELSE ' ' END AS ocr FROM documents)"
+_PAGES = """p0 AS (SELECT doc_id AS source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page_no, unnest(string_split(text, chr(10))) AS native FROM documents),
+    pg AS (SELECT *, CASE WHEN (source + page_no) % 2 = 0 THEN 'ocr ' || page_no ELSE ' ' END AS ocr FROM p0)"""
 
 
 @registered(rf"""WITH {_PAGES}, q AS (SELECT *, length(regexp_replace(native, '^\s+|\s+$', '', 'g')) >= 20 AS nat FROM pg), z AS (SELECT source, page_no, nat, NOT nat AND trim(ocr) <> '' AS tk, CASE WHEN NOT nat AND trim(ocr) <> '' THEN ocr ELSE native END AS t FROM q)
     SELECT source, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE regexp_matches(t, '\S')), '')) AS text_md5, count(*) AS page_count, count(*) FILTER (WHERE tk) AS ocr_pages, count(*) FILTER (WHERE nat) AS native_text_pages FROM z GROUP BY source""")
 def stitch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id")
-    pages = table(spark, sf_dir, "documents").select(F.floor(i / 10).alias("source"), i.alias("page_no"), F.when(i % 3 == 0, "").when(i % 3 == 1, F.substring("text", 1, 15)).otherwise(F.substring("text", 1, 60)).alias("native"), F.when(i % 2 == 0, F.concat(F.lit("ocr "), i)).otherwise(" ").alias("ocr"))
-    s = tables.stitch_pages(pages)
+    """Every line of a document as a page of its own; every other page was read by recognition, too."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("page_no", "native"))
+    ocr = F.when((F.col("source") + F.col("page_no")) % 2 == 0, F.concat(F.lit("ocr "), "page_no")).otherwise(" ")
+    s = tables.stitch_pages(lines.withColumn("ocr", ocr))
     return s.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
@@ -170,15 +183,19 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), source="doc_id")
 
 
-@registered("SELECT lang AS strategy, count(DISTINCT source) AS documents, count(*) AS chunks, min(length(text))::INT AS least, max(length(text))::INT AS most, round(avg(length(text)), 3) AS mean FROM documents GROUP BY lang")
+@registered(rf"""WITH {_LINES}, y AS (SELECT doc_id, CASE WHEN count(*) FILTER (WHERE {_HEADING}) >= 2 THEN 'section' ELSE 'paragraph' END AS strategy FROM l GROUP BY doc_id),
+    p AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS t FROM documents)
+    SELECT strategy, count(DISTINCT doc_id) AS documents, count(*) AS chunks, min(length(t))::INT AS least, max(length(t))::INT AS most, round(avg(length(t)), 3) AS mean FROM y JOIN p USING (doc_id) WHERE t <> '' GROUP BY strategy""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks, their language as strategy."""
-    return chunking.chunk_stats(table(spark, sf_dir, "documents").withColumnRenamed("lang", "strategy"))
+    """Paragraphs (lines, made blank-line parts) as chunks, by what their documents' headings say of how to cut them."""
+    docs = table(spark, sf_dir, "documents")
+    chunks = corpus.split_paragraphs(docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    return chunking.chunk_stats(chunks.join(corpus.chunk_strategy(docs), "doc_id"), "doc_id")
 
 
 @registered()
 def ingest_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing is held yet of the last act, so all provisions are cut anew."""
+    """Every document as a provision. Nothing is held yet of the last act, so all of them are cut anew."""
     c = F.col
     p = _provision_rows(spark, sf_dir)
     text, source = tables.provision_text(c("unit"), c("number"), c("title"), c("content"), c("keywords"), c("act"))
