@@ -260,13 +260,13 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, *, partitions: int | None = None, shard_tokens: int = 1 << 21, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, *, partitions: int | None = None, shard_tokens: int = 1 << 21, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes ``docs`` as shard files in doc_id order (nulls first) and returns them as a table: part, shard, n_docs, n_tokens, file.
 
     Null texts are encoded as empty ones; every document ends with id 2. A shard takes documents until it holds
     ``shard_tokens`` tokens, so its size is bounded but for one long document. Rows with equal ids stay together in
     order of text. No rows: no shards. ``tokenizer`` is the path of a tokenizers file with at most 2**16 ids, the same on
-    every executor. Other columns are ignored.
+    every executor. Other columns are ignored. The table is kept at ``path``, which must not exist yet; without one it is a scratch table.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -301,7 +301,11 @@ def write_shards(docs: DataFrame, tokenizer: str, *, partitions: int | None = No
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
-    return cut(rows.mapInArrow(run, "part int, shard int, n_docs int, n_tokens long, file binary"), "token-shards")
+    shards = rows.mapInArrow(run, "part int, shard int, n_docs int, n_tokens long, file binary")
+    if path is None:
+        return cut(shards, "token-shards")
+    shards.write.parquet(path)
+    return docs.sparkSession.read.schema(shards.schema).parquet(path)
 
 
 def read_shards(shards: DataFrame, kind: str = "long", doc_id: str = "doc_id") -> DataFrame:

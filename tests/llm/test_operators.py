@@ -566,11 +566,13 @@ def test_pipeline_stages(spark, docs, nothing, tmp_path, empty):
     assert Counter((r.doc_id, r.n_tokens) for r in out) == want and (empty or out)
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-dedup", "decontamination", "source mix", "binary output"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    kept = f"file://{tmp_path}/out"
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001", kept).collect()
+    assert sorted(wavelet.read_shards(spark.read.parquet(f"{kept}/tokens")).collect()) == sorted(out) and spark.read.parquet(f"{kept}/3").count() == len(out)
     assert out and sorted(r.start for r in out) == [0, *np.cumsum([r.n_tokens for r in sorted(out, key=lambda r: r.start)])[:-1].tolist()]
 
 
