@@ -78,6 +78,17 @@ def normalize_for_eval(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{M}\p{N}_\s§%]+", " "), r"\s+", " "))
 
 
+def words_for_eval(text: Column) -> Column:
+    """A text with the lower-case words (of ``[a-z0-9]+``) that a text has once it is normalised and stripped of noise again.
+
+    Punctuation and white space don't lie in such words, so a text that holds no noise need only be lower-cased. The second
+    stripping meets no marks any more; what it may find has one of ``information``, ``applicable`` and ``matching``.
+    """
+    need = ["[", "(source:", "section", "article", "clause", *map(_opening, BOILERPLATE), "information", "applicable", "matching"]
+    full = F.lower(strip_answer_noise(normalize_for_eval(text)))
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: F.when(reduce(Column.__or__, (F.contains(low, F.lit(n)) for n in need)), full).otherwise(low))[0]
+
+
 def stem_suffix(token: Column) -> Column:
     """Strips the first suffix of the list that leaves three letters; undoes a doubled consonant after ed, ing and er."""
     out = None

@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.scratch import dealt
-from docquarry.functions.text import ARTICLES, EVAL_STOP, bench_tokens, cosine_pair, normalize_for_eval, stem_suffix, strip_answer_noise
+from docquarry.functions.text import ARTICLES, EVAL_STOP, SUFFIXES, bench_tokens, cosine_pair, words_for_eval
 
 FLAT = 0.005
+SLICE = 256  # rows that are Python objects at once
+KNOWN = 1 << 18  # words that a worker keeps the stems of
+STOP = frozenset(EVAL_STOP)
+_ENDS = {end: [s for s in SUFFIXES if s[-1] == end] for end in {s[-1] for s in SUFFIXES}}
+_COUNTS = ("_x", "_y", "_same", "_shared", "_all")
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """The size of the multiset intersection of two token arrays: both are sorted together and each run of equal tokens counted, in the row itself."""
-    side = lambda x, n: F.transform(x, lambda w: F.struct(w.alias("w"), F.lit(n).alias("s")))
-    begin = F.expr("named_struct('w', cast(null as string), 'x', 0, 'y', 0, 'same', 0)")
+    """The size of the multiset intersection of two token arrays, counted row by row; null where one of them is."""
+
+    @F.arrow_udf("int")
+    def same(x: pa.Array, y: pa.Array) -> pa.Array:
+        rows = (r for at in range(0, len(x), SLICE) for r in zip(x.slice(at, SLICE).to_pylist(), y.slice(at, SLICE).to_pylist(), strict=True))
+        return pa.array([None if p is None or q is None else _shared(Counter(p), Counter(q)) for p, q in rows], pa.int32())
+
+    return same(a, b)
+
+
+def _stem(word: str) -> str:
+    """As :func:`stem_suffix`."""
+    if len(word) > 3:
+        for suffix in _ENDS.get(word[-1], ()):
+            if word.endswith(suffix) and len(word) >= len(suffix) + 3:
+                stem = word[: -len(suffix)]
+                return stem[:-1] if suffix in ("ed", "ing", "er") and len(stem) >= 4 and stem[-1] == stem[-2] and stem[-1] not in "aeiouy" else stem
+    return word
+
+
+def _shared(x: Counter, y: Counter) -> int:
+    return sum(min(n, y[w]) for w, n in x.items() if w in y)
+
+
+_known: dict[str, tuple[str, bool, bool]] = {}  # by word: its stem, whether it counts and whether it is a keyword
+
+
+def _side(text: str) -> tuple[Counter, set[str]]:
+    """How often a normalised text has each stem, articles left out, and the stems of its keywords."""
+    stems, keys = Counter(), set()
+    if len(_known) > KNOWN:
+        _known.clear()
+    for word, n in Counter(re.findall("[a-z0-9]+", text)).items():
+        if (known := _known.get(word)) is None:
+            known = _known[word] = (_stem(word), word not in ARTICLES, len(word) >= 3 and word not in STOP)
+        stem, counts, key = known
+        if counts:
+            stems[stem] = stems.get(stem, 0) + n
+        if key:
+            keys.add(stem)
+    return stems, keys
 
-    def step(held: Column, e: Column) -> Column:
-        new = ~held["w"].eqNullSafe(e["w"])
-        count = lambda c, n: F.when(new, 0).otherwise(held[c]) + F.when(e["s"] == n, 1).otherwise(0)
-        return F.struct(e["w"].alias("w"), count("x", 0).alias("x"), count("y", 1).alias("y"), (held["same"] + F.when(new, F.least(held["x"], held["y"])).otherwise(0)).alias("same"))
 
-    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), begin, step, lambda held: held["same"] + F.least(held["x"], held["y"]))
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns, texts, become the counts that scores are made of."""
+    for batch in batches:
+        *held, left, right = batch.columns
+        rows = []
+        for g, e in zip(left, right, strict=True):
+            (x, kx), (y, ky) = _side(g.as_py()), _side(e.as_py())
+            rows.append((x.total(), y.total(), _shared(x, y), len(kx & ky), len(kx | ky)))
+        counts = [pa.array([r[i] for r in rows], pa.int32()) for i in range(len(_COUNTS))]
+        yield pa.RecordBatch.from_arrays([*held, *counts], names=[*batch.schema.names[:-2], *_COUNTS])
 
 
 def token_set_overlap(a: Column, b: Column) -> Column:
@@ -42,21 +95,15 @@ def keyword_overlap(a: Column, b: Column) -> Column:
 def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated", expected: str = "expected", error: str | None = None, vectors: tuple[str, str] | None = None) -> DataFrame:
     """(key, f1, keyword_overlap) of normalised answers, and cosine where ``vectors`` names the two sides' embeddings. Rows with an ``error`` score 0.
 
-    Texts are normalised once and stripped of noise once more (as the scores are defined). Pairs are dealt by their key, so
-    that the words of both sides, a row each from there on, are stemmed and counted by pair and word without a further shuffle.
+    Texts are normalised once and stripped of noise once more (as the scores are defined). Pairs are dealt by their key; the
+    words of both sides are stemmed and counted within the row, so nothing of the size of all words is sorted or held.
     """
     p = pairs.select(F.col(key).alias("_key"), F.col(generated).alias("_g"), F.col(expected).alias("_e"), *([F.col(error).alias("_error")] if error else []),
                      *([cosine_pair(F.col(vectors[0]), F.col(vectors[1])).alias("cosine")] if vectors else []))
-    p = dealt(p, "_key").withColumn("_row", F.monotonically_increasing_id())
+    p = dealt(p, "_key")
     held = [c for c in p.columns if c not in ("_g", "_e")]
-    sides = p.select(*held, F.posexplode(F.array("_g", "_e")).alias("_side", "_text"))
-    words = F.regexp_extract_all(F.lower(strip_answer_noise(normalize_for_eval(F.col("_text")))), F.lit("[a-z0-9]+"), F.lit(0))
-    each = sides.select(*held, "_side", F.explode_outer(words).alias("_w"))
-    counts, is_key = ~F.col("_w").isin(ARTICLES), (F.length("_w") >= 3) & ~F.col("_w").isin(EVAL_STOP)
-    each = each.select(*held, "_side", stem_suffix(F.col("_w")).alias("_stem"), counts.alias("_counts"), is_key.alias("_keyword"))
-    on = lambda flag, side: F.count_if(F.col(flag) & (F.col("_side") == side))
-    by_word = each.groupBy(*held, "_stem").agg(on("_counts", 0).alias("_x"), on("_counts", 1).alias("_y"), (on("_keyword", 0) > 0).alias("_kx"), (on("_keyword", 1) > 0).alias("_ky"))
-    total = by_word.groupBy(*held).agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"), F.sum(F.least("_x", "_y")).alias("_same"), F.count_if(F.col("_kx") & F.col("_ky")).alias("_shared"), F.count_if(F.col("_kx") | F.col("_ky")).alias("_all"))
+    fields = ", ".join((*(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in held), *(f"{c} int" for c in _COUNTS)))
+    total = p.select(*held, words_for_eval(F.col("_g")).alias("_g"), words_for_eval(F.col("_e")).alias("_e")).mapInArrow(_count_pairs, fields)
     f1 = F.when((F.col("_x") == 0) & (F.col("_y") == 0), 1.0).when((F.col("_x") == 0) | (F.col("_y") == 0), 0.0).otherwise(F.round(2.0 * F.col("_same") / (F.col("_x") + F.col("_y")), 4))
     score = {"f1": f1, "keyword_overlap": F.when(F.col("_all") == 0, 1.0).otherwise(F.round(F.col("_shared") / F.col("_all"), 4))}
     if vectors:
@@ -66,9 +113,9 @@ def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated
 
 
 def retrieval_overlap(retrieved: Column, expected: Column) -> Column:
-    """The share of the expected text's tokens that the retrieved one has; 4 digits, 0 if there are none."""
-    want = bench_tokens(expected)
-    return F.when(F.size(want) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(want, bench_tokens(retrieved))) / F.size(want), 4))
+    """The share of the expected text's tokens that the retrieved one has; 4 digits, 0 if there are none. Both texts are cut once."""
+    both = F.array(F.struct(bench_tokens(expected).alias("want"), bench_tokens(retrieved).alias("have")))
+    return F.transform(both, lambda t: F.when(F.size(t["want"]) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(t["want"], t["have"])) / F.size(t["want"]), 4)))[0]
 
 
 def eval_aggregate(rows: DataFrame, metrics: list[str], error: str = "error") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
-from docquarry.functions.scratch import shared_folder
+from docquarry.functions.scratch import dealt, shared_folder
 from docquarry.operators import analytics, corpus, evaluate, fusion, lexical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,7 +344,8 @@ _PAIRS = "a AS (SELECT x.doc_id AS id, x.text AS generated, y.text AS expected F
 
 def _answer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("generated")).join(d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("expected")), "id")
+    answers, gold = d.select(F.col("doc_id").alias("id"), F.col("text").alias("generated")), d.select((F.col("doc_id") - 1).alias("id"), F.col("text").alias("expected"))
+    return dealt(answers, "id").join(dealt(gold, "id"), "id")
 
 
 _SCORED = f"""{_PAIRS}, n AS (SELECT id, {_normal('generated')} AS g, {_normal('expected')} AS e FROM a),

@@ -1,8 +1,13 @@
 """The answer flow: one row a turn, each branch against what its definition gives, and the benchmark of retrievals."""
 
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from docquarry.operators import answer, corpus
+from docquarry.functions import text as tx
+from docquarry.operators import answer, corpus, evaluate
 from docquarry.operators import understand as u
 
 TURNS = [("a", 0, "hello there", ""), ("a", 1, "Section 302 IPC", "Section 302 IPC"), ("a", 2, "what is the punishment", ""), ("b", 0, "Give me an overview of the Indian Penal Code", ""), ("b", 1, "can someone be punished for theft", ""),
@@ -91,3 +96,24 @@ def test_chunks_of_documents_are_told_apart(spark):
         rows = query(spark, "/root/testdata/sf0.01")
         assert rows.select("chunk_id").distinct().count() == rows.count() == rows.select("doc_id", "chunk_index").distinct().count()
         assert corpus.upsert_chunks(rows.limit(0), rows.select("chunk_id", *(c for c in rows.columns if c != "chunk_id"))).count() == rows.count()
+
+
+def test_scores_are_counted_within_rows(spark):
+    """Scores against counts of stems by Spark's expressions, noise that only shows once a text is normalised included; no word gets a row."""
+    rnd = random.Random(4)
+    some = ["the", "Running", "hopped", "cities", "a", "Éclair", "information", "SECTION 3 - x\n", "[12]", "this is, legal; information (not) legal advice", "primary/provisions matching: your query", "the most applicable provisions in the x corpus are", "(source: y)", "statements", "—", "nies", "K2"]
+    rows = [(i, *(None if rnd.random() < 0.05 else rnd.choice([" ", ", ", "\n"]).join(rnd.choices(some, k=rnd.randrange(9))) for _ in range(2))) for i in range(300)]
+    rows += rows[:2]
+    pairs = spark.createDataFrame(rows, "id long, generated string, expected string")
+    each = lambda f, c: f(tx.normalize_for_eval(F.col(c)))
+    want = Counter()
+    for r in pairs.select("id", each(tx.eval_tokens, "generated").alias("a"), each(tx.eval_tokens, "expected").alias("b"), each(tx.eval_keywords, "generated").alias("x"), each(tx.eval_keywords, "expected").alias("y")).collect():
+        same, x, y = (Counter(r.a) & Counter(r.b)).total(), set(r.x), set(r.y)
+        f1 = 1.0 if not r.a and not r.b else 2.0 * same / (len(r.a) + len(r.b))
+        want[r.id, round(f1 + 1e-9, 4), round((len(x & y) / len(x | y) if x | y else 1.0) + 1e-9, 4)] += 1
+    scored = evaluate.score_answers(pairs)
+    assert Counter(tuple(r) for r in scored.collect()) == want
+    assert "Generate" not in scored._jdf.queryExecution().toString() and "HashAggregate" not in scored._jdf.queryExecution().toString()
+    words = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "a", None]), ([], ["x"]), (None, ["x"])], "a array<string>, b array<string>")
+    overlap = words.select(evaluate.multiset_overlap(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in overlap.collect()] == [2, 0, None] and "HashAggregate" not in overlap._jdf.queryExecution().toString() and "ArrowEvalPython" in overlap._jdf.queryExecution().toString()
