@@ -56,10 +56,9 @@ def signal_scores(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> Dat
     What a question (query_id, query) asks for is worked out once for each question, then held against the chunks
     (chunk_id, text, act_key, domain, number) hit.
     """
-    low = F.lower("query")
-    named = F.transform(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), lambda w: u.resolve_act(w))
-    q = queries.select("query_id", u.expand_topics(F.col("query")).alias("_terms"), content_tokens(F.col("query")).alias("_words"),
-                       F.array_distinct(F.filter(F.concat(u.topic_acts(F.col("query")), named), lambda k: k.isNotNull())).alias("_want"), F.regexp_extract_all(low, F.lit(r"\b(\d{1,4}[a-z]?)\b"), F.lit(1)).alias("_nums"))
+    none = F.array().cast("array<string>")
+    q = u.found(queries.select("query_id", "query", F.lower("query").alias("_low")), "_low")
+    q = q.select("query_id", F.coalesce("terms", none).alias("_terms"), content_tokens(F.col("query")).alias("_words"), F.array_distinct(F.concat("topic_acts", "word_acts")).alias("_want"), F.regexp_extract_all("_low", F.lit(r"\b(\d{1,4}[a-z]?)\b"), F.lit(1)).alias("_nums"))
     h = hits.join(q, "query_id").join(chunks.select("chunk_id", F.lower("text").alias("_low"), "act_key", "domain", F.lower("number").alias("_number")), "chunk_id")
     topics = F.size(F.filter("_terms", lambda t: F.contains(F.col("_low"), F.lower(t))))
     dense = F.when(F.size("_words") > 0, F.size(F.filter("_words", lambda w: F.contains(F.col("_low"), F.substring(w, 1, 4)))) / F.size("_words")).otherwise(0.0)
@@ -124,8 +123,8 @@ def hybrid_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, *, multi
     it holds, the answer is the sample of the question's acts, scored by place, and nothing where it names none.
     """
     active = active_only(chunks) if "superseded" in chunks.columns else chunks
-    r = queries.select("query_id", u.rewritten(F.col("query")).alias("_r"), (F.coalesce(F.col(overview), F.lit(False)) if overview else F.lit(False)).alias("_overview"))
-    r = written(r.select("query_id", "_overview", "_r.*"), "rewritten")
+    r = u.rewrite_queries(queries.select("query_id", "query", (F.coalesce(F.col(overview), F.lit(False)) if overview else F.lit(False)).alias("_overview")))
+    r = written(r.drop("query"), "rewritten")
     v = r.filter("not _overview").select("query_id", "act_keys", F.posexplode("variants" if multi_query else F.filter(F.array("original"), lambda x: x != "")).alias("variant", "text"))
     v = written(v.withColumn("_vid", F.concat_ws("/", "query_id", "variant")), "variants")
     asked = v.select(F.col("_vid").alias("query_id"), F.col("text").alias("query"), "act_keys")
@@ -169,8 +168,8 @@ def overview_sample(queries: DataFrame, chunks: DataFrame, k: int = OVERVIEW) ->
 
 def overview_retrieve(queries: DataFrame, chunks: DataFrame, k: int = OVERVIEW) -> DataFrame:
     """The overview of every question (query_id, query) that asks for one; none where no act is named."""
-    q = queries.select("query_id", u.detect_acts(F.col("query")).alias("act_keys"), u.classify_intent(F.col("query"))["intent"].alias("_intent"))
-    return overview_sample(q.filter("_intent = 'legal_overview'"), chunks, k)
+    q = queries.filter(u.classify_intent(F.col("query"))["intent"] == "legal_overview")
+    return overview_sample(u.understood(q).select("query_id", "act_keys"), chunks, k)
 
 
 def overview_groups(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,16 +65,22 @@ def detect_acts(text: Column) -> Column:
 
 
 def understood(queries: DataFrame, query_id: str = "query_id", query: str = "query", aliases: dict[str, str] = ALIASES, topics: dict[str, list[str]] = TOPICS, acts: dict[str, list[str]] = TOPIC_ACTS) -> DataFrame:
-    """(query_id, act, act_keys, terms, topic_acts): what :func:`resolve_act`, :func:`detect_acts`, :func:`expand_topics` and :func:`topic_acts` give, for dictionaries of any size.
+    """(query_id, act, act_keys, terms, topic_acts, word_acts): what :func:`resolve_act`, :func:`detect_acts`, :func:`expand_topics` and :func:`topic_acts` give, and the acts of single words, for dictionaries of any size.
 
     One automaton of all aliases and one of all topics' names and terms read each text once, so the work grows with the
     texts and what is found in them, not with the dictionaries. Texts are prepared by Spark's expressions.
     """
-    kind = queries.schema[query_id].dataType.simpleString()
-    words = F.transform(F.regexp_extract_all(query, F.lit("[a-zA-Z]+"), F.lit(0)), normalise_alias)
+    return found(queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("_text")), "_text", aliases, topics, acts).drop("_text")
+
+
+def found(rows: DataFrame, text: str, aliases: dict[str, str] = ALIASES, topics: dict[str, list[str]] = TOPICS, acts: dict[str, list[str]] = TOPIC_ACTS) -> DataFrame:
+    """``rows`` with what :func:`understood` finds in their ``text``."""
+    words = F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z]+"), F.lit(0)), normalise_alias)
     order = list(aliases)
+    lists = pa.list_(pa.string())
+    names = [*rows.columns, "act", "act_keys", "terms", "topic_acts", "word_acts"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, about = ahocorasick.Automaton(), ahocorasick.Automaton()
         for n, alias in enumerate(order):
             named.add_word(alias, n)
@@ -95,19 +102,22 @@ def understood(queries: DataFrame, query_id: str = "query_id", query: str = "que
             return None if found is None else aliases[order[found]]
 
         for batch in batches:
-            rows: list[tuple] = []
-            for norm, low, each in zip(batch["norm"], batch["low"], batch["words"], strict=True):
+            *held, norms, lows, parts = batch.columns
+            out: list[tuple] = []
+            for norm, low, each in zip(norms.to_pylist(), lows.to_pylist(), parts.to_pylist(), strict=True):
                 if norm is None:
-                    rows.append((None, None, None, None))
+                    out.append((None, None, None, None, None))
                     continue
                 fired = [every[n] for n in sorted({n for _, ns in about.iter(low) for n in ns})] if len(about) else []
-                whole, scope = act(norm), list(dict.fromkeys(k for t in fired for k in acts.get(t, [])))
-                keys = [k for k in dict.fromkeys([whole, *map(act, each), *scope]) if k is not None]
-                rows.append((whole, keys, list(dict.fromkeys(x for t in fired for x in topics[t])), scope))
-            yield pd.DataFrame({"query_id": batch["query_id"], **{c: [r[i] for r in rows] for i, c in enumerate(("act", "act_keys", "terms", "topic_acts"))}})
+                whole, scope, single = act(norm), list(dict.fromkeys(k for t in fired for k in acts.get(t, []))), list(map(act, each))
+                keys = [k for k in dict.fromkeys([whole, *single, *scope]) if k is not None]
+                out.append((whole, keys, list(dict.fromkeys(x for t in fired for x in topics[t])), scope, [k for k in dict.fromkeys(single) if k is not None]))
+            columns = [pa.array([r[i] for r in out], pa.string() if i == 0 else lists) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*held, *columns], names=names)
 
-    ready = queries.select(F.col(query_id).alias("query_id"), normalise_alias(F.col(query)).alias("norm"), F.lower(query).alias("low"), words.alias("words"))
-    return ready.mapInPandas(run, f"query_id {kind}, act string, act_keys array<string>, terms array<string>, topic_acts array<string>")
+    ready = rows.select("*", normalise_alias(F.col(text)).alias("_norm"), F.lower(text).alias("_low"), words.alias("_words"))
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return ready.mapInArrow(run, f"{fields}, act string, act_keys array<string>, terms array<string>, topic_acts array<string>, word_acts array<string>")
 
 
 def act_value(key: Column, field: str, default: Column | None = None) -> Column:
@@ -131,28 +141,30 @@ def domain_context(text: Column, resolved: Column) -> Column:
     return F.struct(domain_lookup(F.get(keys, F.lit(0))).alias("domain"), F.transform(keys, lambda k: act_value(k, "name")).alias("related"))
 
 
-def rewritten(text: Column) -> Column:
-    """(original, expanded, variants, act_keys, sections) of a question: unseen terms of its topics and the names of its acts are added to it."""
-    q = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+def _rewritten(q: Column, acts: Column, terms: Column) -> Column:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    acts, sections = detect_acts(q), section_numbers(q)
+    sections = section_numbers(q)
     names = F.transform(acts, lambda k: act_value(k, "name", k))
     begin = F.struct(F.array(q).alias("pieces"), words(q).alias("seen"))
-    grown = F.aggregate(F.concat(expand_topics(q), names), begin, lambda held, t: F.when(F.array_contains(held["seen"], F.lower(t)), held).otherwise(
+    grown = F.aggregate(F.concat(terms, names), begin, lambda held, t: F.when(F.array_contains(held["seen"], F.lower(t)), held).otherwise(
         F.struct(F.concat(held["pieces"], F.array(t)).alias("pieces"), F.concat(held["seen"], words(t)).alias("seen"))))
     expanded = F.array_join(grown["pieces"], " ")
     anchor = F.when((F.size(sections) > 0) & (F.size(acts) > 0), F.array_join(F.transform(F.slice(sections, 1, 2), lambda n: F.concat(F.lit("section "), n, F.lit(" "), F.get(names, F.lit(0)))), " "))
-    variants = F.when(q == "", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(_known(F.array(q, expanded, anchor))), 1, 4))
-    return F.struct(q.alias("original"), expanded.alias("expanded"), variants.alias("variants"), acts.alias("act_keys"), sections.alias("sections"))
+    whole = F.transform(F.array(F.struct(expanded.alias("expanded"), anchor.alias("anchor"), sections.alias("sections"))), lambda x: F.struct(
+        q.alias("original"), x["expanded"].alias("expanded"), F.when(q == "", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(_known(F.array(q, x["expanded"], x["anchor"]))), 1, 4)).alias("variants"),
+        acts.alias("act_keys"), x["sections"].alias("sections")))
+    return F.get(whole, F.lit(0))
 
 
 def rewrite_queries(queries: DataFrame, query: str = "query") -> DataFrame:
-    return queries.select("*", rewritten(F.col(query)).alias("_r")).select(*queries.columns, "_r.*")
+    """``queries`` with original, expanded, variants, act_keys and sections: unseen terms of a question's topics and the names of its acts are added to it."""
+    rows = found(queries.select("*", F.regexp_replace(F.coalesce(F.col(query), F.lit("")), r"^\s+|\s+$", "").alias("_q")), "_q")
+    return rows.select(*queries.columns, _rewritten(F.col("_q"), F.col("act_keys"), F.col("terms")).alias("_r")).select(*queries.columns, "_r.*")
 
 
 def union_variants(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """(query_id, variant, text): at most four different forms of each question, in order."""
-    return queries.select(query_id, F.posexplode(rewritten(F.col(query))["variants"]).alias("variant", "text"))
+    return rewrite_queries(queries.select(query_id, query), query).select(query_id, F.posexplode("variants").alias("variant", "text"))
 
 
 def classify_intent(text: Column) -> Column:

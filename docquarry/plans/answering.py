@@ -110,7 +110,7 @@ _SAMPLE = f"""f AS (SELECT act_key, source, min_by({{'chunk_id': chunk_id, 'numb
 
 @registered(f"WITH {_UNDERSTOOD}, {_LIBRARY}, {_SAMPLE}, h AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY k, chunk_id)::INT AS place FROM un JOIN g ON list_contains(acts, act_key) QUALIFY place <= 12) SELECT query_id, chunk_id, place FROM h")
 def overview_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = asking.asked(spark, sf_dir).select("query_id", u.detect_acts(F.col("query")).alias("act_keys"))
+    q = u.understood(asking.asked(spark, sf_dir)).select("query_id", "act_keys")
     return answer.overview_sample(q, library(spark, sf_dir))
 
 

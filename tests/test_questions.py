@@ -110,6 +110,22 @@ def test_automata_find_what_loops_find(spark):
     assert u.understood(q, aliases={}, topics={}).filter("act is not null or size(terms) > 0").count() == 0
 
 
+def test_rewriting_by_automata(spark):
+    """What is rewritten against the expressions for acts and topics, over a plan that reads each text by automata, not by one expression for each entry."""
+    every = [*u.ALIASES, *u.TOPICS]
+    texts = [f" {a} and Section {i}a of {b} " for i, (a, b) in enumerate(zip(every, every[5:], strict=False))][::6] + [None, "", " \t"]
+    q = spark.createDataFrame([(i % 9, t) for i, t in enumerate(texts)], "query_id int, query string")
+    rows = u.rewrite_queries(q)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and len(plan) < 200_000
+    trim = F.regexp_replace(F.coalesce("query", F.lit("")), r"^\s+|\s+$", "")
+    want = q.select("query_id", trim.alias("original"), u.detect_acts(trim).alias("act_keys"), tx.section_numbers(trim).alias("sections")).collect()
+    key = lambda r: (r.query_id, r.original, r.act_keys, r.sections)
+    got = rows.collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and all(r.variants == [] if r.original == "" else r.variants[0] == r.original for r in got)
+    assert u.union_variants(q).count() == sum(len(r.variants) for r in got)
+
+
 def test_route_reasons(spark):
     e = spark.createDataFrame([("legal_research", [("SECTION", "Section 302", 0.93)]), ("conversation", []), ("legal_overview", [("ACT", "IPC", 0.93)]), ("unknown", [("COURT", "High Court", 0.95)])], "i string, e array<struct<type:string,value:string,confidence:double>>")
     out = [tuple(r.r) for r in e.select(u.route(F.col("i"), F.col("e")).alias("r")).collect()]
