@@ -273,7 +273,8 @@ def _provisions(refs: DataFrame, provisions: DataFrame) -> DataFrame:
 def answer_queries(turns: DataFrame, chunks: DataFrame, provisions: DataFrame, k: int = 5, *, terse: bool = False, embed: Callable[..., DataFrame] = hashed_embedding, index: TextIndex | None = None) -> DataFrame:
     """One row for every turn (query_id, session_id, turn, query, subject): query_id, intent, confidence, route, reason, answer and chunk_ids.
 
-    Turns are resolved, classified and routed once, into one table; from there each branch is computed for its own turns
+    Turns are resolved first. What follows depends on a turn's resolved text alone, so each different text is classified, routed
+    and answered once, whatever the number of its turns, and then joined back to them. Each branch is computed for its own texts
     and the branches' answers are united. A deterministic turn is answered by the provisions that it names. One that retrieves has
     its chunks; its answer, without a model, is an overview of the act's sample, or else the provisions that it names or, where
     it names none, those of its topics. Conversation and unknown turns retrieve nothing. ``provisions`` has act_key, act_order, number, title, content,
@@ -282,10 +283,11 @@ def answer_queries(turns: DataFrame, chunks: DataFrame, provisions: DataFrame, k
     t = u.followup_resolve(turns)
     subject = F.substr("effective", F.length("query") + len(" regarding ") + 1)
     note = F.when(F.col("effective") != F.col("query"), F.concat(F.lit(" · follow-up resolved to “"), subject, F.lit("”"))).otherwise("")
-    t = written(t.select("query_id", F.col("effective").alias("query"), note.alias("_note")), "turns")
-    c = t.join(u.extract_entities(t), "query_id").select("query_id", "query", "_note", "entities", u.classify_intent(F.col("query")).alias("_c"))
-    c = c.select("query_id", "query", "_note", "entities", "_c.*", u.route(F.col("_c.intent"), F.col("entities")).alias("_r"))
-    c = written(c.select("query_id", "query", "entities", "intent", "confidence", "_r.route", F.concat("_r.reason", "_note").alias("reason")), "classified")
+    turns = written(t.select("query_id", F.col("effective").alias("_asked"), note.alias("_note")), "turns")
+    t = written(turns.select(F.col("_asked").alias("query")).distinct().withColumn("query_id", F.monotonically_increasing_id()), "asked")
+    c = t.join(u.extract_entities(t), "query_id").select("query_id", "query", "entities", u.classify_intent(F.col("query")).alias("_c"))
+    c = c.select("query_id", "query", "entities", "_c.*", u.route(F.col("_c.intent"), F.col("entities")).alias("_r"))
+    c = written(c.select("query_id", "query", "entities", "intent", "confidence", "_r.route", "_r.reason"), "classified")
     overview = (F.col("route") == "rag") & (F.col("intent") == "legal_overview")
 
     named = F.array_distinct(F.filter(F.transform(F.filter("entities", lambda e: e["type"] == "ACT"), lambda e: u.resolve_act(e["value"])), lambda k: k.isNotNull()))
@@ -311,7 +313,8 @@ def answer_queries(turns: DataFrame, chunks: DataFrame, provisions: DataFrame, k
     held = retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("_ids"))
     out = c.join(answers, "query_id", "left").join(held, "query_id", "left")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    return out.select("query_id", "intent", "confidence", "route", "reason", F.coalesce("answer", without).alias("answer"), F.coalesce("_ids", F.array().cast(f"array<{kind}>")).alias("chunk_ids"))
+    out = written(out.select("query", "intent", "confidence", "route", "reason", F.coalesce("answer", without).alias("answer"), F.coalesce("_ids", F.array().cast(f"array<{kind}>")).alias("chunk_ids")), "answers")
+    return turns.join(out, F.col("_asked").eqNullSafe(F.col("query"))).select("query_id", "intent", "confidence", "route", F.concat("reason", "_note").alias("reason"), "answer", "chunk_ids")
 
 
 def benchmark_pipelines(queries: DataFrame, chunks: DataFrame, k: int = 4, *, embed: Callable[..., DataFrame] = hashed_embedding) -> DataFrame:

@@ -115,7 +115,7 @@ def found(rows: DataFrame, text: str, aliases: dict[str, str] = ALIASES, topics:
             columns = [pa.array([r[i] for r in out], pa.string() if i == 0 else lists) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*held, *columns], names=names)
 
-    ready = rows.select("*", normalise_alias(F.col(text)).alias("_norm"), F.lower(text).alias("_low"), words.alias("_words"))
+    ready = rows.select("*", normalise_alias(F.col(text)).alias("_found_norm"), F.lower(text).alias("_found_low"), words.alias("_found_words"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
     return ready.mapInArrow(run, f"{fields}, act string, act_keys array<string>, terms array<string>, topic_acts array<string>, word_acts array<string>")
 

@@ -117,3 +117,19 @@ def test_scores_are_counted_within_rows(spark):
     words = spark.createDataFrame([(["a", "b", "a"], ["a", "a", "a", None]), ([], ["x"]), (None, ["x"])], "a array<string>, b array<string>")
     overlap = words.select(evaluate.multiset_overlap(F.col("a"), F.col("b")).alias("n"))
     assert [r.n for r in overlap.collect()] == [2, 0, None] and "HashAggregate" not in overlap._jdf.queryExecution().toString() and "ArrowEvalPython" in overlap._jdf.queryExecution().toString()
+
+
+def test_equal_turns_are_answered_once(spark, monkeypatch):
+    """Turns of the same resolved text get the same row, null texts too, while only the different texts are classified and searched."""
+    seen = []
+    whole = answer.hybrid_retrieve
+    monkeypatch.setattr(answer, "hybrid_retrieve", lambda q, *a, **k: seen.append(q.select("query").collect()) or whole(q, *a, **k))
+    texts = ["can someone be punished for theft", "hello there", "Section 302 IPC", None]
+    turns = spark.createDataFrame([(f"{s}/{n}", f"s{s}", n, t, "") for s in range(5) for n, t in enumerate(texts)], "query_id string, session_id string, turn long, query string, subject string")
+    provisions = spark.createDataFrame(PROVISIONS, "act_key string, act_order int, number string, title string, content string, citations array<string>, keywords array<string>")
+    chunks = spark.createDataFrame([(i, f"text of theft number {i}", "ipc", "Indian Penal Code", str(300 + i), "Criminal", i) for i in range(8)], "chunk_id long, text string, act_key string, source string, number string, domain string, chunk_index int")
+    out = answer.answer_queries(turns, chunks, provisions).collect()
+    assert len(out) == 20 and len({r.query_id for r in out}) == 20
+    for n in range(len(texts)):
+        assert len({(r.intent, r.route, r.reason, r.answer, tuple(r.chunk_ids)) for r in out if r.query_id.endswith(f"/{n}")}) == 1
+    assert [r.query for r in seen[0]] == texts[:1]
