@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as tx
+from docquarry.functions.scratch import written
 from docquarry.operators import answer, lexical
 from docquarry.operators import understand as u
 from docquarry.plans import asking
@@ -137,12 +138,12 @@ _CITED = f"{_HITS}, {_ANSWERS}, mu AS (SELECT query_id, unnest(m) AS rank, gener
 
 @registered(f"WITH {_CITED} SELECT query_id, chunk_id, place FROM ct")
 def citation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.citation_join(_answers(spark, sf_dir), hits(spark, sf_dir))
+    return answer.citation_join(_answers(spark, sf_dir), written(hits(spark, sf_dir), "hits"))
 
 
 @registered(f"WITH {_CITED} SELECT query_id, round(avg(score) + 1e-9::DOUBLE, 4) AS confidence FROM ct GROUP BY query_id")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hits(spark, sf_dir)
+    h = written(hits(spark, sf_dir), "hits")
     return answer.answer_confidence(answer.citation_join(_answers(spark, sf_dir), h).join(h.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"]))
 
 
