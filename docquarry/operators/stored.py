@@ -101,14 +101,14 @@ class TextIndex:
             return head
         at, g = head.at + 1, head.generation
         new = written(postings(chunks, chunk_id, text), "batch-postings")
-        ids = chunks.select(F.col(chunk_id).alias("chunk_id"), F.size(tokenize_lexical(F.col(text))).alias("dl"))
+        tokens = chunks.select(F.col(chunk_id).alias("chunk_id"), tokenize_lexical(F.col(text)).alias("_t"))
+        ids = written(tokens.select("chunk_id", F.size("_t").alias("dl"), F.array_distinct("_t").alias("terms")), "batch-chunks")
         out = ids.select("chunk_id") if removed is None else ids.select("chunk_id").unionByName(removed.select("chunk_id"))
         out = out.distinct().withColumn("bucket", self._bucket("chunk_id"))
         forward = self._read("forward", f"chunk_id {self.kind}, dl int, terms array<string>", head)
         gone = written(self._live(forward, head).join(out, ["bucket", "chunk_id"], "left_semi").select("chunk_id", "dl", "terms", "bucket"), "batch-removed")
         self._write(new.withColumn("bucket", self._bucket("term")), "postings", at, g, ["term", "chunk_id"])
-        held = new.groupBy("chunk_id").agg(F.collect_set("term").alias("terms"))
-        self._write(ids.join(held, "chunk_id", "left").select("chunk_id", "dl", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), self._bucket("chunk_id").alias("bucket")), "forward", at, g, ["chunk_id"])
+        self._write(ids.withColumn("bucket", self._bucket("chunk_id")), "forward", at, g, ["chunk_id"])
         self._write(gone.select("chunk_id", "bucket"), "removed", at, g, ["chunk_id"])
         change = new.groupBy("term").agg(F.count("*").alias("change")).unionByName(gone.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("change")))
         self._write(change.groupBy("term").agg(F.sum("change").alias("change")).filter("change <> 0").withColumn("bucket", self._bucket("term")), "terms", at, g, ["term"])
