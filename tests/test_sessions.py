@@ -3,6 +3,7 @@
 from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docquarry.operators import sessions as s
@@ -65,3 +66,22 @@ def test_events(spark):
     want = _plain([(i, stamp[t], name, read) for i, t, name, read in rows], 6, 500)
     assert {r.id: (r.session_id, r.held, r.turns) for r in records.session_reads(spark, sf).collect()} == want[0]
     assert {(r.session_id, r.id): (r.age, r.recency) for r in records.session_memory(spark, sf).collect()} == want[1]
+
+
+def test_a_task_holds_one_batch_of_its_block(spark):
+    """What a batch's reads find comes out before the next batch is read, and no block is handed over as one group."""
+    read = []
+
+    def batches():
+        for at in range(0, 40, 8):
+            rows = [{"block": 0, "place": None, "ident": i, "session": "a", "read": i % 2 == 1} for i in range(at, at + 8)]
+            read.append(at)
+            yield pa.RecordBatch.from_pylist([{"block": 0, "place": 0}, *rows][at > 0 :], schema=pa.schema([("block", pa.int64()), ("place", pa.int32()), ("ident", pa.int64()), ("session", pa.string()), ("read", pa.bool_())]))
+
+    held = []
+    for out in s._walks(3, 2, True)(batches()):
+        held.append(len(read))
+        assert all(r["turns"] == [i for i in range(0, r["ident"], 2)][-3:] for r in out.to_pylist())
+    assert held == [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(i, i, f"s{i % 3}", i % 2 == 1) for i in range(20)], "id long, created_at long, session_id string, is_read boolean")
+    assert "CoGroup" not in s.session_memory(df, block_rows=5)[0]._jdf.queryExecution().toString()
