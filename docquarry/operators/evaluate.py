@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.scratch import dealt
-from docquarry.functions.text import ARTICLES, EVAL_STOP, SUFFIXES, bench_tokens, cosine_pair, words_for_eval
+from docquarry.functions.text import ARTICLES, EVAL_STOP, SUFFIXES, cosine_pair, words_for_eval
 
 FLAT = 0.005
 SLICE = 256  # rows that are Python objects at once
 KNOWN = 1 << 18  # words that a worker keeps the stems of
 STOP = frozenset(EVAL_STOP)
 _ENDS = {end: [s for s in SUFFIXES if s[-1] == end] for end in {s[-1] for s in SUFFIXES}}
+_GAPS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 _COUNTS = ("_x", "_y", "_same", "_shared", "_all")
 
 
@@ -112,10 +113,23 @@ def score_answers(pairs: DataFrame, key: str = "id", generated: str = "generated
     return total.select(F.col("_key").alias(key), *([F.col("_error").alias(error)] if error else []), *(F.when(failed, 0.0).otherwise(x).alias(n) for n, x in score.items()))
 
 
+def _bench_words(text: bytes) -> set[bytes]:
+    """As :func:`docquarry.functions.text.bench_tokens`, of a lower-cased text in UTF-8."""
+    return {w for w in text.translate(_GAPS).split() if len(w) > 2}
+
+
 def retrieval_overlap(retrieved: Column, expected: Column) -> Column:
-    """The share of the expected text's tokens that the retrieved one has; 4 digits, 0 if there are none. Both texts are cut once."""
-    both = F.array(F.struct(bench_tokens(expected).alias("want"), bench_tokens(retrieved).alias("have")))
-    return F.transform(both, lambda t: F.when(F.size(t["want"]) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(t["want"], t["have"])) / F.size(t["want"]), 4)))[0]
+    """The share of the expected text's tokens that the retrieved one has; 4 digits, 0 if there are none. A null text has none. Both are cut once, row by row."""
+
+    @F.arrow_udf("double")
+    def share(have: pa.Array, want: pa.Array) -> pa.Array:
+        rows, have, want = [], have.cast(pa.binary()), want.cast(pa.binary())
+        for x, y in zip(have, want, strict=True):
+            words = _bench_words(y.as_py() or b"")
+            rows.append(len(words & _bench_words(x.as_py() or b"")) / len(words) if words else 0.0)
+        return pa.array(rows, pa.float64())
+
+    return F.round(share(F.lower(retrieved), F.lower(expected)), 4)
 
 
 def eval_aggregate(rows: DataFrame, metrics: list[str], error: str = "error") -> DataFrame:

@@ -133,3 +133,18 @@ def test_equal_turns_are_answered_once(spark, monkeypatch):
     for n in range(len(texts)):
         assert len({(r.intent, r.route, r.reason, r.answer, tuple(r.chunk_ids)) for r in out if r.query_id.endswith(f"/{n}")}) == 1
     assert [r.query for r in seen[0]] == texts[:1]
+
+
+def test_overlap_is_cut_within_rows(spark):
+    """The shares against those of Spark's own tokens, on nulls, empty texts and letters that change with case; no text becomes an array of words in the plan."""
+    some = ["Murder", "is", "the\tthe", "a1b", "É", "K2K", "Kelvin", "İstanbul", "x yz1", "—", "ÀBC", "per-son", ""]
+    rnd = random.Random(5)
+    rows = [(i, *(None if rnd.random() < 0.1 else rnd.choice([" ", "", "\n"]).join(rnd.choices(some, k=rnd.randrange(7))) for _ in range(2))) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "id long, generated string, expected string")
+    want = {}
+    for r in pairs.select("id", tx.bench_tokens(F.col("generated")).alias("g"), tx.bench_tokens(F.col("expected")).alias("e")).collect():
+        want[r.id] = round(len(set(r.e) & set(r.g)) / len(r.e), 4) if r.e else 0.0
+    shares = pairs.select("id", evaluate.retrieval_overlap(F.col("generated"), F.col("expected")).alias("share"))
+    assert {r.id: r.share for r in shares.collect()} == want and {0.0, 1.0} <= set(want.values()) and len(set(want.values())) > 5
+    plan = shares._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
