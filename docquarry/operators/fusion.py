@@ -15,7 +15,7 @@ from docquarry.functions.scratch import written
 from docquarry.operators.lexical import top_k
 
 RRF_K = 60
-CELLS = 1 << 22  # scores that a task holds at once
+CELLS = 1 << 20  # scores that a task holds at once, in some four matrices
 
 
 def _unit(rows: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -46,15 +46,17 @@ class _Best:
     @staticmethod
     def _cut(score: np.ndarray, turn: np.ndarray, k: int) -> np.ndarray:
         """Columns of each row's best ``k``, in order; ``turn`` ranks the ids."""
-        key = score * (int(turn.max(initial=0)) + 1) - turn
+        key = score * -(int(turn.max(initial=0)) + 1)  # the least is the best
+        key += turn
         if k < key.shape[1]:
-            some = np.argpartition(-key, k - 1, axis=1)[:, :k]
-            return np.take_along_axis(some, np.argsort(-np.take_along_axis(key, some, axis=1), axis=1, kind="stable"), axis=1)
-        return np.argsort(-key, axis=1, kind="stable")
+            some = np.argpartition(key, k - 1, axis=1)[:, :k].copy()
+            return np.take_along_axis(some, np.argsort(np.take_along_axis(key, some, axis=1), axis=1, kind="stable"), axis=1)
+        return np.argsort(key, axis=1, kind="stable")
 
     def add(self, rows: np.ndarray, exact: np.ndarray, allowed: np.ndarray | None, ids: np.ndarray) -> None:
         """Takes the scores of some queries (``rows``) with the candidates ``ids``; a candidate that isn't ``allowed`` doesn't count."""
-        score = np.rint(exact * 1e6).astype(np.int64)
+        score = exact * 1e6
+        score = np.rint(score, out=score).astype(np.int64)
         if allowed is not None:
             score[~allowed] = self.NONE
         turn = np.empty(len(ids), np.int64)

@@ -2,9 +2,12 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +133,28 @@ def test_vector_search_by_keys_against_all_pairs(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("queries", [100, 4000])
+def test_a_search_task_holds_few_scores(queries):
+    """A task's memory stays the same for few and many queries; ties go to the lesser id."""
+    rng = np.random.default_rng(6)
+    q, v, ids = rng.integers(-3, 4, (queries, 8)).astype(float), rng.integers(-3, 4, (12000, 8)).astype(float), rng.permutation(12000)
+    rows = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), rows(v)], names=["id", "v"])
+    run = fusion._search_task(SimpleNamespace(value=(pa.array(range(queries)), fusion._unit(rows(q)), None)), 4, False)
+    tracemalloc.start()
+    found = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60
+    got = {}
+    for i, c in zip(found[0].column("query_id").to_pylist(), found[0].column("chunk_id").to_pylist(), strict=True):
+        got.setdefault(i, []).append(c)
+    unit = lambda x: fusion._unit(rows(x))
+    for i in range(0, queries, 37):
+        score = np.rint(unit(v) @ unit(q[i : i + 1])[0] * 1e6)
+        assert sorted(got[i]) == sorted(ids[np.lexsort((ids, -score))[:4]].tolist())
+
+
 def test_more_query_vectors_than_fit_are_an_error(spark):
     v = spark.createDataFrame([(1, [1.0, 2.0])], "chunk_id long, embedding array<double>")
     with pytest.raises(ValueError, match="blocks"):
